@@ -1,55 +1,56 @@
-"""Byte-level BPE encoding and decoding with Spark higher-order functions.
+"""Byte-level BPE encoding and decoding, with merges folded by Spark higher-order functions.
 
 A text is split by the vocabulary's pattern; each piece is a byte array whose ranked merges
 are folded: the adjacent pair of lowest rank (the leftmost of equals) becomes one token,
-until no adjacent pair has a rank. Ranks come from a literal map in the plan, laid out as
-two integer arrays so that a lookup takes constant time (a Spark map is searched from its
-start). Decoding looks up each id's bytes in a literal array and concatenates them.
-
-Pieces that a bounded sample of texts shows to be frequent are folded once, on the driver
-side of the plan, and then found by hash; any other piece is folded where it stands. The
-sample decides only which pieces are looked up: each piece has the same ids either way.
-
-Nothing is shuffled: a document is encoded in the task that reads it. An empty or null text
-has no ids; its digests are those of no bytes. Rows are kept as they are, so repeated rows
-and ties stay, and columns of the input with other names pass through ``encode``.
+until no adjacent pair has a rank. Ranks are a literal map in the plan, laid out as two
+integer arrays by row displacement, so that a lookup takes constant time (a Spark map is
+searched from its start). Decoding concatenates the bytes of each id.
+
+Each row passes three steps in one task, without a shuffle: an Arrow step splits its text and
+replaces pieces of a bounded dictionary by their number; higher-order functions fold each
+distinct other piece of the text; an Arrow step puts the ids in order. The dictionary holds
+the pieces that are frequent in a bounded sample of texts, folded by the same functions. The
+sample decides only which pieces are folded beforehand: each piece has the same ids either way.
+
+An empty or null text has no ids; its digests are those of no bytes. Rows are kept as they
+are, so repeated rows and ties stay. Columns of the input besides key and text are dropped.
+The fold of one piece takes time in the square of its length.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import let, whole_text
 
-#: Entries of the literal dictionary of frequent pieces, and texts read to find them.
-DICTIONARY_SLOTS = 1 << 18
-DICTIONARY_PIECES = 1 << 16
-SAMPLE_TEXTS = 4000
+#: Most pieces of the dictionary, and texts read to find them.
+DICTIONARY_PIECES = 1 << 17
+SAMPLE_TEXTS = 8000
 
-#: Between the entries of a literal of strings; pieces that hold it aren't in the dictionary.
-_MARK = "\x01"
-_VALID = 1 << 16
-_PLACES = 1 << 20
+_LOW = 1 << 16
+_NONE = 1 << 40
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Tokens by id, and the rank of each mergeable pair in a table without collisions.
+    """Tokens by id, and the rank of each mergeable pair by row displacement.
 
-    The pair (a, b) merges to r where ``table[cell] == a << 32 | b << 16 | r``, with
-    ``cell = (a * step + b + shift[(a * 7 + b) % len(shift)]) % len(table)``.
+    The pair (a, b) merges to r where ``table[offset[a] + b] == a << 16 | r``. The id
+    ``len(tokens)`` stands at either end of a piece and is in no pair.
     """
 
     tokens: tuple[bytes, ...]
     byte_ids: tuple[int, ...]
-    step: int
-    shift: np.ndarray
+    offset: np.ndarray
     table: np.ndarray
 
 
@@ -58,51 +59,43 @@ def vocabulary(path: str) -> Vocabulary:
     """Reads a file of base64 tokens and ranks (driver only; its size is the vocabulary's)."""
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    if len(ranks) > _VALID or set(ranks.values()) != set(range(len(ranks))):
-        raise ValueError("ranks must run from 0 without gaps, 65536 at most")
-    pairs = np.array(
-        [
-            (a, b, rank)
-            for token, rank in ranks.items()
-            for cut in range(1, len(token))
-            if (a := ranks.get(token[:cut])) is not None and (b := ranks.get(token[cut:])) is not None
-        ],
-        dtype=np.int64,
-    ).reshape(-1, 3)
-    cells = 1 << max(10, int(1.3 * len(pairs)).bit_length())
-    groups = cells >> 2
-    for step in range(40_503, 1 << 20, 2_654):
-        if (made := _place(pairs, step, cells, groups)) is not None:
-            break
-    else:
-        raise ValueError("no table without collisions was found")
-    tokens = [b""] * len(ranks)
+    size = len(ranks)
+    if size >= _LOW or set(ranks.values()) != set(range(size)):
+        raise ValueError("ranks must run from 0 without gaps, 65534 at most")
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):
+            a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if a is not None and b is not None:
+                rows.setdefault(a, []).append((b, rank))
+    cells = 4 * max(1024, sum(map(len, rows.values())))
+    while (made := _displaced(rows, size, cells)) is None:
+        cells *= 2
+    tokens = [b""] * size
     for token, rank in ranks.items():
         tokens[rank] = token
-    return Vocabulary(tuple(tokens), tuple(ranks[bytes([i])] for i in range(256)), step, *made)
-
-
-def _place(pairs: np.ndarray, step: int, cells: int, groups: int):
-    """Shifts by group, largest group first, so that no two pairs share a cell; None if that fails."""
-    group = (pairs[:, 0] * 7 + pairs[:, 1]) % groups
-    base = (pairs[:, 0] * step + pairs[:, 1]) % cells
-    order = np.argsort(group, kind="stable")
-    cuts = np.flatnonzero(np.diff(group[order])) + 1
-    used, shift = np.zeros(cells, dtype=bool), np.zeros(groups, dtype=np.int64)
-    table = np.full(cells, -1, dtype=np.int64)
-    tries = np.random.default_rng(step).permutation(cells)
-    for members in sorted(np.split(order, cuts), key=len, reverse=True):
-        own = base[members]
-        if len(np.unique(own)) < len(own):
-            return None
-        for d in tries:
-            if not used[at := (own + d) % cells].any():
+    return Vocabulary(tuple(tokens), tuple(ranks[bytes([i])] for i in range(256)), *made)
+
+
+def _displaced(rows: dict[int, list[tuple[int, int]]], size: int, cells: int):
+    """Offsets at random, longest row first, so that no two pairs share a cell; None if that fails."""
+    r = np.random.default_rng(cells)
+    used = np.zeros(cells + size + 1, dtype=bool)
+    offset = np.zeros(size + 1, dtype=np.int64)
+    table = np.full(cells + size + 1, _NONE, dtype=np.int64)
+    for a in sorted(rows, key=lambda x: -len(rows[x])):
+        columns, found = np.array([x for x, _ in rows[a]]), np.array([x for _, x in rows[a]])
+        for _ in range(2000):
+            tries = r.integers(0, cells, 16)
+            free = np.flatnonzero(~used[tries[:, None] + columns].any(axis=1))
+            if len(free):
                 break
         else:
             return None
-        used[at], shift[group[members[0]]] = True, d
-        table[at] = pairs[members, 0] << 32 | pairs[members, 1] << 16 | pairs[members, 2]
-    return shift, table
+        at = int(tries[free[0]])
+        used[at + columns], offset[a] = True, at
+        table[at + columns] = a << 16 | found
+    return offset, table
 
 
 def _numbers(values, kind: str) -> Column:
@@ -110,128 +103,162 @@ def _numbers(values, kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
-def _strings(values, between: str = ",") -> Column:
-    """An array literal of strings, none of which holds the character ``between``."""
-    return F.split(F.lit(between.join(values)), between)
-
-
-class ByteBpe:
-    """Column expressions of one vocabulary: pieces, ids of pieces, bytes of ids."""
-
-    def __init__(self, path: str, pattern: str):
-        self.vocab = vocabulary(path)
-        # Java's classes follow Unicode only when asked to.
-        self.pattern = "(?U)" + pattern
-        self._shift = _numbers(self.vocab.shift.tolist(), "bigint")
-        self._table = _numbers(self.vocab.table.tolist(), "bigint")
-        self._byte_ids = _numbers(self.vocab.byte_ids, "bigint")
-        self._hex = _strings(t.hex() for t in self.vocab.tokens)
-        self._packed = _strings(i.to_bytes(4, "little").hex() for i in range(len(self.vocab.tokens)))
-
-    def pieces(self, text: Column) -> Column:
-        return F.regexp_extract_all(whole_text(text), F.lit(self.pattern), F.lit(0))
+def fold_all(pieces: Column, vocab: Vocabulary) -> Column:
+    """Ids of each piece of an array, by ranked merges over its bytes."""
+    end = len(vocab.tokens)
 
-    def _best(self, ids: Column) -> Column:
-        """The rank and place of the pair to merge next, packed; at least _VALID * _PLACES if none."""
-        v = self.vocab
-
-        def pair(a: Column, b: Column, i: Column) -> Column:
-            cell = (a * F.lit(v.step) + b + F.get(self._shift, (a * 7 + b).bitwiseAND(len(v.shift) - 1))).bitwiseAND(len(v.table) - 1)
-            key = F.shiftleft(F.shiftleft(a, 16).bitwiseOR(b), 16)
-            return F.least(F.get(self._table, cell).bitwiseXOR(key).bitwiseAND((1 << 62) - 1), F.lit(_VALID)) * F.lit(_PLACES) + i
-
-        last = F.size(ids) - 1
-        return F.when(
-            last > 0,
-            F.array_min(F.transform(F.slice(ids, 1, last), lambda a, i: pair(a, F.get(ids, i + 1), i))),
-        ).otherwise(F.lit(_VALID * _PLACES).cast("bigint"))
-
-    def fold(self, piece: Column) -> Column:
-        """Ids of one piece, by ranked merges over its bytes."""
+    def fold(piece: Column, table: Column, offset: Column, byte_ids: Column) -> Column:
+        score = lambda a, b: F.get(table, F.get(offset, a) + b).bitwiseXOR(F.shiftleft(a, 16))
         places = F.sequence(F.lit(1), F.octet_length(piece))
         digit = lambda x, i: F.instr(F.lit("123456789ABCDEF"), F.substring(x, i, F.lit(1)))
-        start = F.when(
+        own = F.when(
             F.octet_length(piece) == F.length(piece),
-            F.transform(places, lambda i: F.get(self._byte_ids, F.ascii(F.substring(piece, i, F.lit(1))))),
+            F.transform(places, lambda i: F.get(byte_ids, F.ascii(F.substring(piece, i, F.lit(1))))),
         ).otherwise(
-            let(F.hex(piece), lambda x: F.transform(places, lambda i: F.get(self._byte_ids, digit(x, i * 2 - 1) * 16 + digit(x, i * 2))))
+            let(F.hex(piece), lambda x: F.transform(places, lambda i: F.get(byte_ids, digit(x, i * 2 - 1) * 16 + digit(x, i * 2))))
+        )
+        edge = F.array(F.lit(end).cast("bigint"))
+        # Scores stand with the left id of their pair; a score below 2**16 is the pair's rank.
+        with_best = lambda ids, scores: let(
+            scores, lambda x: F.struct(ids.alias("ids"), x.alias("scores"), F.array_min(x).alias("best"))
         )
-        state = lambda ids: let(ids, lambda x: F.struct(x.alias("ids"), self._best(x).alias("best")))
-
-        def merge(s: Column, _: Column) -> Column:
-            place = (s["best"] % _PLACES).cast("int")
-            joined = F.concat(
-                F.slice(s["ids"], F.lit(1), place),
-                F.array(F.shiftright(s["best"], 20)),
-                F.slice(s["ids"], place + 3, F.size(s["ids"])),
+        start = let(
+            F.concat(edge, own, edge),
+            lambda ids: with_best(ids, F.transform(F.slice(ids, F.lit(1), F.size(ids) - 1), lambda a, i: score(a, F.get(ids, i + 1)))),
+        )
+
+        def merged(s: Column, p: Column) -> Column:
+            ids, scores, rest = s["ids"], s["scores"], F.size(s["ids"])
+            return with_best(
+                F.concat(F.slice(ids, F.lit(1), p - 1), F.array(s["best"]), F.slice(ids, p + 2, rest)),
+                F.concat(
+                    F.slice(scores, F.lit(1), p - 2),
+                    F.array(score(F.get(ids, p - 2), s["best"]), score(s["best"], F.get(ids, p + 1))),
+                    F.slice(scores, p + 2, rest),
+                ),
             )
-            return F.when(s["best"] < _VALID * _PLACES, state(joined)).otherwise(s)
 
-        return F.aggregate(F.sequence(F.lit(1), F.octet_length(piece)), state(start), merge, lambda s: s["ids"])
+        step = lambda s, _: F.when(s["best"] >= _LOW, s).otherwise(
+            let(F.array_position(s["scores"], s["best"]).cast("int"), lambda p: merged(s, p))
+        )
+        done = F.aggregate(F.slice(places, F.lit(2), F.size(places)), start, step, lambda s: s["ids"])
+        return let(done, lambda x: F.slice(x, F.lit(2), F.size(x) - 2).cast("array<int>"))
+
+    # Bound once per row, so that the plan holds each literal once.
+    return let(
+        _numbers(vocab.table.tolist(), "bigint"),
+        lambda table: let(
+            _numbers(vocab.offset.tolist(), "bigint"),
+            lambda offset: let(_numbers(vocab.byte_ids, "bigint"), lambda byte_ids: F.transform(pieces, lambda p: fold(p, table, offset, byte_ids))),
+        ),
+    )
 
-    def bytes_hex(self, ids: Column) -> Column:
-        """The bytes of a sequence of ids, as hexadecimal digits."""
-        return F.array_join(F.transform(ids, lambda i: F.get(self._hex, i.cast("int"))), "")
 
-    def packed_hex(self, ids: Column) -> Column:
-        """Ids as little-endian unsigned 32-bit integers, as hexadecimal digits."""
-        return F.array_join(F.transform(ids, lambda i: F.get(self._packed, i.cast("int"))), "")
+def _dictionary(texts: DataFrame, text: str, pattern: str, vocab: Vocabulary) -> tuple[list[str], list[bytes]]:
+    """Frequent pieces of the first SAMPLE_TEXTS texts and the ids of each; DICTIONARY_PIECES at most."""
+    pieces = F.regexp_extract_all(whole_text(F.col(text)), F.lit("(?U)" + pattern), F.lit(0))
+    counts = texts.select(text).limit(SAMPLE_TEXTS).repartition(8).select(F.explode(pieces).alias("piece")).groupBy("piece").count()
+    top = counts.where("length(piece) <= 64").orderBy(F.desc("count"), "piece").limit(DICTIONARY_PIECES)
+    rows = (
+        top.repartition(8).groupBy(F.spark_partition_id()).agg(F.collect_list("piece").alias("pieces"))
+        .select("pieces", fold_all(F.col("pieces"), vocab).alias("ids")).collect()
+    )
+    names = [p for r in rows for p in r["pieces"]]
+    return names, [np.array(x, "<u4").tobytes() for r in rows for x in r["ids"]]
+
+
+def _encoded(documents: DataFrame, path: str, pattern: str, key: str, text: str, finish: Callable, ddl: str) -> DataFrame:
+    """Encodes each row and gives its key and ids (little-endian, 4 bytes each) to ``finish``."""
+    vocab = vocabulary(path)
+    sent = documents.sparkSession.sparkContext.broadcast(_dictionary(documents, text, pattern, vocab))
+    rows = documents.select(F.col(key).alias("key"), whole_text(F.col(text)).alias("text"))
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        pieces = regex.compile(pattern).findall
+        known = {p: i for i, p in enumerate(sent.value[0])}.get
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                codes, rare = [], []
+                for value in part.column(1):
+                    own: dict[str, int] = {}
+                    out = []
+                    for p in pieces(value.as_py()):
+                        c = known(p)
+                        if c is None and (c := own.get(p)) is None:
+                            c = own[p] = -1 - len(own)
+                        out.append(c)
+                    codes.append(np.array(out, "<i4").tobytes())
+                    rare.append(list(own))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(codes, pa.binary()), pa.array(rare, pa.list_(pa.string()))], names=["key", "codes", "rare"]
+                )
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = list(sent.value[1])
+        n = len(ids)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                # Null lists are of no length; all offsets count from the buffers' start.
+                outer, inner = part.column(2).offsets.to_pylist(), part.column(2).values
+                cuts = (inner.offsets.to_numpy() * 4).tolist() if len(inner) else [0]
+                flat = inner.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+                made = []
+                for code, a, b in zip(part.column(1), outer, outer[1:]):
+                    # The number -1 - k counts from the end of the list.
+                    ids += [flat[cuts[k] : cuts[k + 1]] for k in range(b - 1, a - 1, -1)]
+                    made.append(b"".join([ids[c] for c in np.frombuffer(code.as_py(), "<i4").tolist()]))
+                    del ids[n:]
+                yield finish(part.column(0), made)
+
+    folded = rows.mapInArrow(split, f"key {kind}, codes binary, rare array<string>").select(
+        "key", "codes", F.when(F.size("rare") > 0, fold_all(F.col("rare"), vocab)).alias("folds")
+    )
+    return folded.mapInArrow(joined, f"`{key}` {kind}, {ddl}")
 
-    def frequent(self, texts: DataFrame, text: str):
-        """A function from a piece to its ids: by the dictionary where it is in there, else by the fold.
 
-        Takes the first SAMPLE_TEXTS texts for the choice of pieces; at most DICTIONARY_PIECES
-        reach the driver, with their ids.
-        """
-        top = (
-            texts.select(text).limit(SAMPLE_TEXTS).select(F.explode(self.pieces(F.col(text))).alias("piece"))
-            .groupBy("piece").count().where(F.length("piece") <= 64).where(~F.contains("piece", F.lit(_MARK))).orderBy(F.desc("count"), "piece").limit(DICTIONARY_PIECES)
-        )
-        rows = top.select(
-            "piece",
-            F.xxhash64("piece").bitwiseAND(DICTIONARY_SLOTS - 1).alias("slot"),
-            F.array_join(self.fold(F.col("piece")), ",").alias("ids"),
-            "count",
-        ).collect()
-        slots: dict[int, tuple[str, str]] = {}
-        for r in sorted(rows, key=lambda r: (-r["count"], r["piece"])):
-            slots.setdefault(r["slot"], (r["piece"], r["ids"]))
-        flat, cells, names, n = [], [0] * DICTIONARY_SLOTS, [], 0
-        for place, (slot, (piece, ids)) in enumerate(sorted(slots.items())):
-            own = ids.split(",")
-            cells[slot] = (place + 1) << 40 | n << 8 | len(own)
-            names.append(piece)
-            flat += own
-            n += len(own)
-        cell, name, ids_of = _numbers(cells, "bigint"), _strings(["", *names], _MARK), _numbers(flat or [0], "bigint")
-
-        def encode(piece: Column) -> Column:
-            found = F.get(cell, F.xxhash64(piece).bitwiseAND(DICTIONARY_SLOTS - 1).cast("int"))
-            return let(
-                found,
-                lambda c: F.when(
-                    F.get(name, F.shiftright(c, 40).cast("int")) == piece,
-                    F.slice(ids_of, F.shiftright(c, 8).bitwiseAND((1 << 32) - 1).cast("int") + 1, c.bitwiseAND(255).cast("int")),
-                ).otherwise(self.fold(piece)),
-            )
+def encode_documents(documents: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: the key and the ids of the text."""
+
+    def finish(keys: pa.Array, made: list[bytes]) -> pa.RecordBatch:
+        ids = pa.array([np.frombuffer(x, "<i4") for x in made], pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([keys, ids], names=[key, "ids"])
+
+    return _encoded(documents, path, pattern, key, text, finish, "ids array<int>")
 
-        return encode
 
+def decode(ids: bytes, tokens: tuple[bytes, ...]) -> bytes:
+    """The bytes of ids (little-endian unsigned 32-bit integers): their pieces, one after the other."""
+    return b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
-def encode_documents(documents: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
-    """``documents`` and, in column ``into``, each text's ids. A column of that name is replaced."""
-    bpe = ByteBpe(path, pattern)
-    encode = bpe.frequent(documents, text)
-    return documents.withColumn(into, F.flatten(F.transform(bpe.pieces(F.col(text)), encode)))
+
+def decode_documents(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """Per row of ``encode_documents``: the key and the decoded bytes (none for null)."""
+    tokens = encoded.sparkSession.sparkContext.broadcast(vocabulary(path).tokens)
+    rows = encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [decode(np.array(x.as_py() or [], "<u4").tobytes(), tokens.value) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=[key, "bytes"])
+
+    return rows.mapInArrow(decoded, f"`{key}` {kind}, bytes binary")
 
 
 def round_trip(documents: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: the key, the number of ids, the digest of the ids and that of the bytes they decode to."""
-    bpe = ByteBpe(path, pattern)
-    ids = encode_documents(documents.select(key, text), path, pattern, text, "ids")
-    return ids.select(
-        key,
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.unhex(bpe.packed_hex(F.col("ids"))), 256).alias("ids_sha256"),
-        F.sha2(F.unhex(bpe.bytes_hex(F.col("ids"))), 256).alias("decoded_sha256"),
-    )
+    tokens = documents.sparkSession.sparkContext.broadcast(vocabulary(path).tokens)
+
+    def finish(keys: pa.Array, made: list[bytes]) -> pa.RecordBatch:
+        digest = lambda x: hashlib.sha256(x).hexdigest()
+        columns = [[len(x) // 4 for x in made], [digest(x) for x in made], [digest(decode(x, tokens.value)) for x in made]]
+        return pa.RecordBatch.from_arrays(
+            [keys, pa.array(columns[0], pa.int64()), *(pa.array(x, pa.string()) for x in columns[1:])], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"]
+        )
+
+    return _encoded(documents, path, pattern, key, text, finish, "n_tokens long, ids_sha256 string, decoded_sha256 string")
