@@ -59,6 +59,21 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{os.getpid()}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """The rows as a table in the shared folder, so that later steps don't depend on lost tasks."""
+    spark, folder = df.sparkSession, new_folder(df.sparkSession, what)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like ``name`` that is none of ``taken``, in any case of letters."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once for each row, however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

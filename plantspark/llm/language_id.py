@@ -143,7 +143,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
                 value, count = np.unique(np.concatenate(g), return_counts=True)
                 # A short n-gram of padding only has no letter and says nothing.
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(value)), pa.array(value.view(np.int64)), pa.array(count.astype(np.int64))], names=["lang", "gram", "n"]
+                    [pa.array([name] * len(value), pa.string()), pa.array(value.view(np.int64)), pa.array(count.astype(np.int64))], names=["lang", "gram", "n"]
                 )
 
     grown = chosen.select("text", "lang").mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1")

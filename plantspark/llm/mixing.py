@@ -28,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder, word_count
+from .common import word_count, written
 
 #: Random numbers are multiples of 2**-52.
 _DIGITS = 13
@@ -87,9 +87,7 @@ def mix(
         F.monotonically_increasing_id().alias("id"),
     )
     # The texts are read once; what follows reads a few numbers per document.
-    spark, folder = documents.sparkSession, new_folder(documents.sparkSession, "mix")
-    rows.write.parquet(folder)
-    rows = spark.read.schema(rows.schema).parquet(folder)
+    rows = written(rows, "mix")
 
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")

@@ -42,7 +42,8 @@ SEED = 7
 def chunks(data: bytes) -> Iterator[np.ndarray]:
     """The windows' bytes: overlapping chunks that cover all bytes; the end is padded with zeros."""
     step = CHUNK - CHUNK % STRIDE
-    for at in range(0, max(len(data), 1), step):
+    # A chunk begins where a window does that isn't in the one before.
+    for at in range(0, max(len(data) - WIDTH + STRIDE, 1), step):
         piece = data[at : at + step + WIDTH - STRIDE]
         short = max(WIDTH - len(piece), -(len(piece) - WIDTH) % STRIDE)
         yield np.frombuffer(piece + b"\0" * short, np.uint8)

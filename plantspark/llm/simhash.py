@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder
+from .common import written
 
 SHINGLE = 3
 SEED = 42
@@ -191,13 +191,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Each round gives every node the least root among its neighbours' roots, then jumps to that
     root's root. Rounds end when no root changes; each is a table in the shared folder.
     """
-    spark = edges.sparkSession
-
-    def kept(df: DataFrame) -> DataFrame:
-        folder = new_folder(spark, "components")
-        df.write.parquet(folder)
-        return spark.read.schema(df.schema).parquet(folder)
-
+    kept = lambda df: written(df, "components")
     both = kept(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     state = kept(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node").withColumn("moved", F.lit(True)))
     for _ in range(most_rounds):
@@ -215,14 +209,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """Per row: key, fingerprint (16 hexadecimal digits), component_id (least key reachable)."""
-    spark = documents.sparkSession
-    folder = new_folder(spark, "simhash")
-    fingerprints(documents, key, text).write.parquet(folder)
-    prints = spark.read.parquet(folder)
-    distinct = prints.groupBy("fingerprint").agg(F.min("key").alias("least"))
-    folder = new_folder(spark, "simhash-distinct")
-    distinct.write.parquet(folder)
-    distinct = spark.read.parquet(folder)
+    prints = written(fingerprints(documents, key, text), "simhash")
+    distinct = written(prints.groupBy("fingerprint").agg(F.min("key").alias("least")), "simhash-distinct")
     found = components(links(distinct.select("fingerprint"), block))
     rooted = distinct.join(found, F.col("fingerprint") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fingerprint"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
