@@ -110,4 +110,4 @@ def plain_xml(text: Column) -> Column:
 def unfenced(text: Column) -> Column:
     """What stands in the first code fence, else the text."""
     inner = F.regexp_extract(text, "(?s)```(?:json)?(.*?)(?:```|$)", 1)
-    return F.trim(F.when(F.contains(text, F.lit("```")), inner).otherwise(text))
+    return F.regexp_replace(F.when(F.contains(text, F.lit("```")), inner).otherwise(text), "^\\s+|\\s+$", "")

@@ -105,6 +105,8 @@ def average_precision(rows: DataFrame, points: int = 101) -> DataFrame:
     at = spans.where("k1 <= k2").withColumn("k", F.explode(F.sequence("k1", "k2")))
     x = F.col("k") / F.lit(float(step))
     y = F.when(F.col("r2") > F.col("recall"), F.col("env") + (F.col("e2") - F.col("env")) * (x - F.col("recall")) / (F.col("r2") - F.col("recall"))).otherwise(F.col("env"))
+    # At recall 1 the closing point counts.
+    y = F.when(F.col("k") == step, 0.0).otherwise(y)
     value = at.withColumn("y", y).groupBy("symbol_class", "k").agg(F.max_by("y", F.struct("rank")).alias("y"))
     w = F.when((F.col("k") == 0) | (F.col("k") == step), 0.5).otherwise(1.0)
     return value.groupBy("symbol_class").agg(F.round(F.sum(F.col("y") * w) / step, 6).alias("ap"))

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import tags as t
 from ..functions.dims import SEVERITY_RANK, lookup
@@ -24,7 +25,7 @@ from ..functions.dims import SEVERITY_RANK, lookup
 SIMILAR = 0.82
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratio of matching characters of two strings in upper case, as difflib gives it."""
     from difflib import SequenceMatcher

@@ -339,3 +339,26 @@ def heuristic_text(fx: Fixtures) -> DataFrame:
     """A cell of four pixels keeps its first region, and only then regions are filtered."""
     first = fx.texts.groupBy("pid_id", F.floor(F.col("cx") / 4).alias("kx"), F.floor(F.col("cy") / 4).alias("ky")).agg(F.min_by(F.struct("region_id", "confidence"), "region_id").alias("m"))
     return first.where("m.confidence >= 0.5").select("pid_id", F.col("m.region_id").alias("region_id"))
+
+
+@register()
+def merge_collinear(fx: Fixtures) -> DataFrame:
+    """Merges depend on their order, which SQL can't express; tested against a plain restart loop."""
+    from ..operators.merging import merge_collinear as merge
+
+    return merge(fx.segments)
+
+
+@register("""
+WITH RECURSIVE s AS (SELECT pid_id, seg_id, x1, y1, x2, y2, (x1 + x2) / 2.0::DOUBLE AS mx, (y1 + y2) / 2.0::DOUBLE AS my,
+  round(CASE WHEN atan2(y2 - y1, x2 - x1) < 0 THEN atan2(y2 - y1, x2 - x1) + pi() ELSE CASE WHEN atan2(y2 - y1, x2 - x1) >= pi() THEN 0 ELSE atan2(y2 - y1, x2 - x1) END END * 100, 6) AS a
+  FROM fx_segments WHERE (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) <= 16900),
+p AS (SELECT l.seg_id AS a, r.seg_id AS b FROM s l JOIN s r ON l.pid_id = r.pid_id AND l.seg_id <> r.seg_id
+  WHERE (l.mx - r.mx) * (l.mx - r.mx) + (l.my - r.my) * (l.my - r.my) + (l.a - r.a) * (l.a - r.a) <= 225),
+w(n, r) AS (SELECT seg_id, seg_id FROM s UNION SELECT p.b, w.r FROM w JOIN p ON p.a = w.n),
+c AS (SELECT n, min(r) AS cluster FROM w GROUP BY n)
+SELECT pid_id, cluster, min(least(x1, x2)) AS x1, min(least(y1, y2)) AS y1, max(greatest(x1, x2)) AS x2, max(greatest(y1, y2)) AS y2, count(*) AS n FROM s JOIN c ON s.seg_id = c.n GROUP BY pid_id, cluster""")
+def dashed_clusters(fx: Fixtures) -> DataFrame:
+    from ..operators.merging import dashed_clusters as cluster
+
+    return cluster(fx.segments, most_length=130)

@@ -65,7 +65,7 @@ r1 AS (SELECT *, max(precision) OVER (PARTITION BY symbol_class ORDER BY rank DE
 xs AS (SELECT unnest(range(0, 101))::BIGINT AS k),
 lo AS (SELECT symbol_class, k, arg_max(recall, rank) AS ra, arg_max(env, rank) AS ea, max(rank) AS rank FROM r1, xs WHERE rank < 4611686018427387904 AND ceil(recall * 100) <= k GROUP BY 1, 2),
 nx AS (SELECT symbol_class, rank, lead(recall) OVER (PARTITION BY symbol_class ORDER BY rank) AS rb, lead(env) OVER (PARTITION BY symbol_class ORDER BY rank) AS eb FROM r1),
-yv AS (SELECT lo.symbol_class, k, CASE WHEN rb > ra THEN ea + (eb - ea) * (k / 100.0::DOUBLE - ra) / (rb - ra) ELSE ea END AS y FROM lo JOIN nx ON lo.symbol_class = nx.symbol_class AND lo.rank = nx.rank)
+yv AS (SELECT lo.symbol_class, k, CASE WHEN k = 100 THEN 0 WHEN rb > ra THEN ea + (eb - ea) * (k / 100.0::DOUBLE - ra) / (rb - ra) ELSE ea END AS y FROM lo JOIN nx ON lo.symbol_class = nx.symbol_class AND lo.rank = nx.rank)
 SELECT symbol_class, round(sum(y * CASE WHEN k IN (0, 100) THEN 0.5 ELSE 1 END) / 100, 6) AS ap FROM yv GROUP BY 1""")
 def ap_101(fx: Fixtures) -> DataFrame:
     return m.average_precision(m.ranked(fx.boxes, fx.truth))

@@ -115,3 +115,21 @@ def join_sop_matches(fx: Fixtures) -> DataFrame:
     """The best matches that are completed documents."""
     top = retrieval.search(fx.embeddings, retrieval.vector_of(fx.embeddings, 0), 20).select("vec_id")
     return fx.docs.where("status = 'completed'").join(F.broadcast(top), F.col("pid_id") == F.col("vec_id")).select("pid_id", "file_name")
+
+
+@register("SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(fx: Fixtures) -> DataFrame:
+    """Windows over the events; the same plan runs as a stream in ``streaming``."""
+    from ..streaming.streams import event_windows as windows
+
+    return windows(fx.events).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@register("""
+WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, opens DESC ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS start_us, count(*) AS n FROM s GROUP BY user_id, k""")
+def event_sessions(fx: Fixtures) -> DataFrame:
+    from ..streaming.streams import sessions
+
+    return sessions(fx.events).select("user_id", F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), "n")

@@ -1,0 +1 @@
+"""Readers and writers: drawings, procedures, labels, annotations and predictions."""

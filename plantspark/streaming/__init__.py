@@ -1,0 +1 @@
+"""Structured Streaming: file ingest, newest row per key, windows over events."""
