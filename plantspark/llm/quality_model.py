@@ -124,15 +124,22 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
     return model
 
 
+def _sampled(rows: DataFrame) -> DataFrame:
+    """Of (label, h, …) about ROWS rows of each label, by the hash h; all, if there are fewer."""
+    sizes = {r["label"]: r["count"] for r in rows.where("label in (0, 1)").groupBy("label").count().collect()}
+    share = F.create_map(*(F.lit(x) for k in (0, 1) for x in (k, min(1.0, ROWS / max(1, sizes.get(k, 0))))))
+    return rows.where(F.pmod("h", F.lit(1 << 20)) < F.try_element_at(share, F.col("label")) * (1 << 20))
+
+
+def choose(rows: DataFrame) -> list[tuple[int, int]]:
+    """(key, label) of the rows (doc_id, h, label) to learn from, h being a hash of the text."""
+    return [(r["doc_id"], r["label"]) for r in _sampled(rows).select("doc_id", "label").collect()]
+
+
 def fit(rows: DataFrame, text: str = "text", label: str = "label") -> Model:
     """Learns from (text, label 0 or 1). See the module for what is read."""
-    known = rows.select(F.encode(F.col(text), "utf-8").alias("text"), F.col(label).cast("int").alias("label")).where("text is not null and label in (0, 1)")
-    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    if not sizes:
-        return train([], [])
-    share = F.create_map(*(F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, ROWS / n))))
-    chosen = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.try_element_at(share, F.col("label")) * (1 << 20))
-    read = chosen.select(F.substring("text", 1, TRAIN_BYTES).alias("text"), "label", F.xxhash64("text").alias("h")).orderBy("h", "label").collect()
+    known = rows.select(F.encode(F.col(text), "utf-8").alias("text"), F.col(label).cast("int").alias("label"), F.xxhash64(F.col(text)).alias("h"))
+    read = _sampled(known.where("text is not null")).select(F.substring("text", 1, TRAIN_BYTES).alias("text"), "label", "h").orderBy("h", "label").collect()
     return train([bytes(r["text"]) for r in read], [r["label"] for r in read])
 
 
