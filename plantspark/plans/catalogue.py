@@ -33,7 +33,7 @@ def register(sql: str = "") -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import queries_boxes, queries_graphs, queries_metrics, queries_store, queries_texts  # noqa: F401
+    from . import queries_boxes, queries_detector, queries_graphs, queries_metrics, queries_store, queries_texts  # noqa: F401
 
 
 def _full(sql: str) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dims import SYMBOL_TYPES, sql_case
-from ..operators import exports, graphs
+from ..operators import exports, graphs, requests
 from .catalogue import register
 from .fixtures import Fixtures
 
@@ -134,3 +134,28 @@ def nodes_by_class(fx: Fixtures) -> DataFrame:
 @register("SELECT node_id FROM fx_nodes WHERE upper(isa_tag) = 'V-100' OR upper(label) = 'ITEM 100'")
 def nodes_by_tag(fx: Fixtures) -> DataFrame:
     return fx.nodes.where((F.upper("isa_tag") == "V-100") | (F.upper("label") == "ITEM 100")).select("node_id")
+
+
+@register("SELECT e.src, e.dst, e.src % 3 = 0 AND e.dst % 3 = 0 AS highlighted FROM fx_edges e")
+def highlight(fx: Fixtures) -> DataFrame:
+    return requests.highlighted(fx.nodes, fx.edges, F.col("node_id") % 3 == 0)
+
+
+@register("SELECT node_id, 'Node ' || node_id || ': type=' || node_type || ', label=' || label || ', class=' || symbol_class || ', tag=' || isa_tag AS chunk FROM fx_nodes UNION ALL SELECT NULL, 'Edge: ' || src || ' -> ' || dst FROM fx_edges")
+def graph_chunks(fx: Fixtures) -> DataFrame:
+    n = requests.node_chunk(F.col("node_id").cast("string"), F.col("node_type"), F.col("label"), F.create_map(F.lit("class"), F.col("symbol_class"), F.lit("tag"), F.col("isa_tag")))
+    e = requests.edge_chunk(F.col("src").cast("string"), F.col("dst").cast("string"))
+    return fx.nodes.select("node_id", n.alias("chunk")).unionByName(fx.edges.select(F.lit(None).cast("long").alias("node_id"), e.alias("chunk")))
+
+
+@register("SELECT node_id FROM fx_nodes WHERE (y >= 600 AND x >= 900) OR (y <= 120 AND x >= 600 AND x <= 1200)")
+def roi_rectangles(fx: Fixtures) -> DataFrame:
+    return fx.nodes.where(requests.in_margins(F.col("x"), F.col("y"), 1800, 1000)).select("node_id")
+
+
+@register("""WITH s AS (SELECT p_partkey, 4 * pi() * (p_size * 37) / ((p_size + 20.0::DOUBLE) * (p_size + 20)) AS c, p_size * 37 / (p_size * 30.0::DOUBLE + p_partkey) AS solid, (10 + p_partkey % 40) / (10.0::DOUBLE + p_size) AS aspect FROM part)
+SELECT p_partkey, CASE WHEN c > 0.7 AND aspect > 0.7 AND aspect < 1.4 THEN 'pressure_indicator' WHEN c > 0.55 THEN 'flow_indicator' WHEN solid < 0.5 THEN 'gate_valve' WHEN aspect > 1.5 AND aspect < 4 THEN 'centrifugal_pump' ELSE 'unknown' END AS symbol_class FROM s""")
+def classify_cc(fx: Fixtures) -> DataFrame:
+    size, key = F.col("p_size"), F.col("p_partkey")
+    made = requests.component_class(size * 37, size + F.lit(20.0), size * 30.0 + key, 10 + key % 40, 10.0 + size)
+    return fx.part.select("p_partkey", made["symbol_class"].alias("symbol_class"))

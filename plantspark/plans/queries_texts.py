@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import tags as t
 from ..functions.dims import COMPATIBLE, FIRST_LETTER, PREFIX_CLASS, SECOND_LETTER, sql_case
 from ..operators import procedures as p
-from ..operators import xref
+from ..operators import requests, xref
 from .catalogue import register
 from .fixtures import Fixtures
 from .queries_boxes import _TAG, TAGGED, tagged_texts
@@ -178,3 +178,27 @@ def xref_exit_code(fx: Fixtures) -> DataFrame:
 @register("SELECT pid_id, string_agg(text, ' ' ORDER BY region_id) AS text_metadata FROM fx_texts GROUP BY pid_id")
 def text_metadata(fx: Fixtures) -> DataFrame:
     return fx.texts.groupBy("pid_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("region_id", "text"))), lambda x: x["text"]), " ").alias("text_metadata"))
+
+
+@register("""WITH a AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'missing_component' WHEN 1 THEN 'type_mismatch' WHEN 2 THEN 'attribute_mismatch' ELSE NULL END AS t FROM events)
+SELECT event_id, CASE WHEN event_id % 5 = 4 THEN NULL WHEN event_id % 5 = 3 THEN 0 ELSE 1 END::BIGINT AS n, CASE WHEN t = 'type_mismatch' THEN 'attribute_mismatch' ELSE t END AS type FROM a""")
+def parse_llm_json(fx: Fixtures) -> DataFrame:
+    """Answers as a list, in a fence, under a name, empty, and broken."""
+    raw = F.expr(
+        "CASE event_id % 5 WHEN 0 THEN '[{\"type\":\"missing_component\",\"relatedNodes\":[\"n1\"]}]' WHEN 1 THEN 'Sure: ```json\n{\"issues\": [{\"type\": \"type_mismatch\"}]}\n```' "
+        "WHEN 2 THEN '{\"result\":[{\"type\":\"anything\"}]}' WHEN 3 THEN '[]' ELSE 'no' END"
+    )
+    found = requests.parsed_answers(fx.events.select("event_id", raw.alias("raw")), "raw")
+    return found.select("event_id", F.when(F.col("issues").isNotNull(), F.size("issues")).cast("long").alias("n"), F.get("issues", F.lit(0))["type"].alias("type"))
+
+
+@register("WITH " + _STEPS + "SELECT s.sop_id, s.step_no, concat_ws(' ', (SELECT string_agg(tag, ' ' ORDER BY pos) FROM tg WHERE tg.sop_id = s.sop_id AND tg.step_no = s.step_no), substr(s.text, 1, 3000)) AS search_text FROM st s WHERE EXISTS (SELECT 1 FROM tg WHERE tg.sop_id = s.sop_id AND tg.step_no = s.step_no)")
+def search_query(fx: Fixtures) -> DataFrame:
+    return p.steps(fx.sop_lines).where(F.size("required_tags") > 0).select("sop_id", "step_no", requests.search_text(F.col("required_tags"), F.col("text")).alias("search_text"))
+
+
+@register(_WITH + f"""SELECT sop_id, type, component, severity FROM (SELECT sop_id, 'missing_component' AS type, sop_tag AS component, 'error' AS severity FROM ({_MISS}) UNION ALL SELECT sop_id, 'attribute_mismatch', sop_tag, 'error' FROM ({_TYPE})
+ UNION ALL SELECT sop_id, 'attribute_mismatch', sop_tag, 'warning' FROM ({_VALVE}) UNION ALL SELECT sop_id, 'unexpected_component', graph_tag, 'info' FROM ({_EXTRA}))""")
+def llm_validate(fx: Fixtures) -> DataFrame:
+    """The rule engine's rows as the issues that an answer would hold."""
+    return requests.issues(xref.discrepancies(_steps(fx), fx.plant, fuzzy=False))
