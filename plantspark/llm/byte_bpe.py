@@ -7,10 +7,12 @@ integer arrays by row displacement, so that a lookup takes constant time (a Spar
 searched from its start). Decoding concatenates the bytes of each id.
 
 Each row passes three steps in one task, without a shuffle: an Arrow step splits its text and
-replaces pieces of a bounded dictionary by their number; higher-order functions fold each
-distinct other piece of the text; an Arrow step puts the ids in order. The dictionary holds
-the pieces that are frequent in a bounded sample of texts, folded by the same functions. The
-sample decides only which pieces are folded beforehand: each piece has the same ids either way.
+replaces its pieces by numbers; higher-order functions fold the pieces that the task hasn't met
+before; an Arrow step, which gets the same rows in the same order, numbers their ids alike and
+puts them in order. A bounded dictionary, filled first, holds the pieces that are frequent in a
+bounded sample of texts, folded by the same functions. It decides only which pieces are folded
+beforehand: each piece has the same ids either way. A task remembers ``REMEMBERED`` pieces, then
+starts anew.
 
 An empty or null text has no ids; its digests are those of no bytes. Rows are kept as they
 are, so repeated rows and ties stay. Columns of the input besides key and text are dropped.
@@ -30,14 +32,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, whole_text
+from .common import SPLIT_PATTERN, let, parts, whole_text
 
 #: Most pieces of the dictionary, and texts read to find them.
-DICTIONARY_PIECES = 1 << 17
-SAMPLE_TEXTS = 8000
+DICTIONARY_PIECES = 1 << 18
+SAMPLE_TEXTS = 12_000
+#: Most other pieces that a task keeps at a time.
+REMEMBERED = 200_000
 
 _LOW = 1 << 16
 _NONE = 1 << 40
+#: More than any array's length.
+_NONE_LEFT = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -120,27 +126,26 @@ def fold_all(pieces: Column, vocab: Vocabulary) -> Column:
         edge = F.array(F.lit(end).cast("bigint"))
         # Scores stand with the left id of their pair; a score below 2**16 is the pair's rank.
         with_best = lambda ids, scores: let(
-            scores, lambda x: F.struct(ids.alias("ids"), x.alias("scores"), F.array_min(x).alias("best"))
+            scores,
+            lambda x: F.struct(ids.alias("ids"), x.alias("scores"), F.array_min(x).alias("best"), F.array_position(x, F.array_min(x)).cast("int").alias("at")),
         )
         start = let(
             F.concat(edge, own, edge),
             lambda ids: with_best(ids, F.transform(F.slice(ids, F.lit(1), F.size(ids) - 1), lambda a, i: score(a, F.get(ids, i + 1)))),
         )
 
-        def merged(s: Column, p: Column) -> Column:
-            ids, scores, rest = s["ids"], s["scores"], F.size(s["ids"])
+        def merged(s: Column) -> Column:
+            ids, scores, best, at, rest = s["ids"], s["scores"], s["best"], s["at"], F.lit(_NONE_LEFT)
             return with_best(
-                F.concat(F.slice(ids, F.lit(1), p - 1), F.array(s["best"]), F.slice(ids, p + 2, rest)),
+                F.concat(F.slice(ids, F.lit(1), at - 1), F.array(best), F.slice(ids, at + 2, rest)),
                 F.concat(
-                    F.slice(scores, F.lit(1), p - 2),
-                    F.array(score(F.get(ids, p - 2), s["best"]), score(s["best"], F.get(ids, p + 1))),
-                    F.slice(scores, p + 2, rest),
+                    F.slice(scores, F.lit(1), at - 2),
+                    F.array(score(F.get(ids, at - 2), best), score(best, F.get(ids, at + 1))),
+                    F.slice(scores, at + 2, rest),
                 ),
             )
 
-        step = lambda s, _: F.when(s["best"] >= _LOW, s).otherwise(
-            let(F.array_position(s["scores"], s["best"]).cast("int"), lambda p: merged(s, p))
-        )
+        step = lambda s, _: F.when(s["best"] >= _LOW, s).otherwise(merged(s))
         done = F.aggregate(F.slice(places, F.lit(2), F.size(places)), start, step, lambda s: s["ids"])
         return let(done, lambda x: F.slice(x, F.lit(2), F.size(x) - 2).cast("array<int>"))
 
@@ -155,22 +160,33 @@ def fold_all(pieces: Column, vocab: Vocabulary) -> Column:
 
 
 def _dictionary(texts: DataFrame, text: str, pattern: str, vocab: Vocabulary) -> tuple[list[str], list[bytes]]:
-    """Frequent pieces of the first SAMPLE_TEXTS texts and the ids of each; DICTIONARY_PIECES at most."""
+    """Frequent pieces of about SAMPLE_TEXTS texts, chosen by hash, and the ids of each; DICTIONARY_PIECES at most."""
+    share = min(1.0, SAMPLE_TEXTS / max(1, texts.count()))
+    some = texts.select(text).where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < F.lit(share * (1 << 20)))
     pieces = F.regexp_extract_all(whole_text(F.col(text)), F.lit("(?U)" + pattern), F.lit(0))
-    counts = texts.select(text).limit(SAMPLE_TEXTS).repartition(8).select(F.explode(pieces).alias("piece")).groupBy("piece").count()
+    counts = some.select(F.explode(pieces).alias("piece")).groupBy("piece").count()
     top = counts.where("length(piece) <= 64").orderBy(F.desc("count"), "piece").limit(DICTIONARY_PIECES)
-    rows = (
-        top.repartition(8).groupBy(F.spark_partition_id()).agg(F.collect_list("piece").alias("pieces"))
-        .select("pieces", fold_all(F.col("pieces"), vocab).alias("ids")).collect()
-    )
-    names = [p for r in rows for p in r["pieces"]]
-    return names, [np.array(x, "<u4").tobytes() for r in rows for x in r["ids"]]
+    lists = top.groupBy(F.pmod(F.xxhash64("piece"), F.lit(64)).alias("part")).agg(F.collect_list("piece").alias("pieces"))
+    table = lists.select("pieces", fold_all(F.col("pieces"), vocab).alias("ids")).toArrow()
+    names, found = [], []
+    for own, ids in zip(table.column("pieces"), table.column("ids")):
+        names += own.as_py()
+        found += _cut(ids.values)
+    return names, found
+
+
+def _cut(lists: pa.ListArray) -> list[bytes]:
+    """Each list of ids as little-endian unsigned 32-bit integers."""
+    cuts = (lists.offsets.to_numpy() * 4).tolist() if len(lists) else [0]
+    flat = lists.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+    return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def _encoded(documents: DataFrame, path: str, pattern: str, key: str, text: str, finish: Callable, ddl: str) -> DataFrame:
     """Encodes each row and gives its key and ids (little-endian, 4 bytes each) to ``finish``."""
     vocab = vocabulary(path)
-    sent = documents.sparkSession.sparkContext.broadcast(_dictionary(documents, text, pattern, vocab))
+    # Either Arrow step gets only its half of the dictionary.
+    names, ids_of = map(documents.sparkSession.sparkContext.broadcast, _dictionary(documents, text, pattern, vocab))
     rows = documents.select(F.col(key).alias("key"), whole_text(F.col(text)).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
 
@@ -178,45 +194,58 @@ def _encoded(documents: DataFrame, path: str, pattern: str, key: str, text: str,
         import regex
 
         pieces = regex.compile(pattern).findall
-        known = {p: i for i, p in enumerate(sent.value[0])}.get
+        known = {p: i for i, p in enumerate(names.value)}
+        quick = pattern == SPLIT_PATTERN
+        n, own, of_part = len(known), {}, {}
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                codes, rare = [], []
+                codes, rare, anew = [], [], []
                 for value in part.column(1):
-                    own: dict[str, int] = {}
-                    out = []
-                    for p in pieces(value.as_py()):
-                        c = known(p)
-                        if c is None and (c := own.get(p)) is None:
-                            c = own[p] = -1 - len(own)
-                        out.append(c)
-                    codes.append(np.array(out, "<i4").tobytes())
-                    rare.append(list(own))
+                    if restart := len(own) > REMEMBERED or len(of_part) > REMEMBERED + n:
+                        own, of_part = {}, {}
+                    new: list[str] = []
+
+                    def numbered(piece: str, own=own, new=new) -> int:
+                        c = known.get(piece)
+                        if c is None and (c := own.get(piece)) is None:
+                            c = own[piece] = n + len(own)
+                            new.append(piece)
+                        return c
+
+                    text = value.as_py()
+                    if quick and (found := parts(text)):
+                        for x in [x for x in set(found) if x not in of_part]:
+                            # A part that is a piece of the dictionary is that piece.
+                            c = known.get(x)
+                            of_part[x] = (np.array([numbered(p) for p in pieces(x)], "<i4") if c is None else np.int32(c)).tobytes()
+                        codes.append(b"".join(map(of_part.__getitem__, found)))
+                    else:
+                        codes.append(np.array([numbered(p) for p in pieces(text)], "<i4").tobytes())
+                    rare.append(new)
+                    anew.append(restart)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(codes, pa.binary()), pa.array(rare, pa.list_(pa.string()))], names=["key", "codes", "rare"]
+                    [part.column(0), pa.array(codes, pa.binary()), pa.array(rare, pa.list_(pa.string())), pa.array(anew)], names=["key", "codes", "rare", "anew"]
                 )
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = list(sent.value[1])
+        ids = list(ids_of.value)
         n = len(ids)
         for batch in batches:
+            # Null lists are of no length; all offsets count from the buffers' start.
+            outer, inner = batch.column(2).offsets.to_pylist(), _cut(batch.column(2).values)
+            anew = batch.column(3).to_pylist()
             for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                # Null lists are of no length; all offsets count from the buffers' start.
-                outer, inner = part.column(2).offsets.to_pylist(), part.column(2).values
-                cuts = (inner.offsets.to_numpy() * 4).tolist() if len(inner) else [0]
-                flat = inner.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-                made = []
-                for code, a, b in zip(part.column(1), outer, outer[1:]):
-                    # The number -1 - k counts from the end of the list.
-                    ids += [flat[cuts[k] : cuts[k + 1]] for k in range(b - 1, a - 1, -1)]
+                part, made = batch.slice(at, 64), []
+                for k, code in enumerate(part.column(1), at):
+                    if anew[k]:
+                        del ids[n:]
+                    ids += inner[outer[k] : outer[k + 1]]
                     made.append(b"".join([ids[c] for c in np.frombuffer(code.as_py(), "<i4").tolist()]))
-                    del ids[n:]
                 yield finish(part.column(0), made)
 
-    folded = rows.mapInArrow(split, f"key {kind}, codes binary, rare array<string>").select(
-        "key", "codes", F.when(F.size("rare") > 0, fold_all(F.col("rare"), vocab)).alias("folds")
+    folded = rows.mapInArrow(split, f"key {kind}, codes binary, rare array<string>, anew boolean").select(
+        "key", "codes", F.when(F.size("rare") > 0, fold_all(F.col("rare"), vocab)).alias("folds"), "anew"
     )
     return folded.mapInArrow(joined, f"`{key}` {kind}, {ddl}")
 

@@ -20,7 +20,6 @@ dropped.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,24 +30,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import parts
+
 BLOCK = 1 << 16
 PLANES = 4
 LEVEL = 3
 #: Texts that are encoded at a time, and words remembered by a worker (in each of two generations).
 BATCH = 256
-REMEMBERED = 150_000
-
-#: White space that isn't a single blank or line feed between other characters.
-_ODD = re.compile(r"\s\s|\A\s|\s\Z")
+REMEMBERED = 500_000
 
 
 class WordEncoder:
     """Encodes texts with a byte-level BPE tokenizer of the tokenizers library, word by word.
 
-    The library's pattern never joins what stands before a blank or line feed that has other
-    characters than white space at both sides with what comes after, so such words have the
-    same ids alone as in their text; words are encoded once and remembered. Texts with other
-    white space, or with one of the tokenizer's added tokens, go to the library whole.
+    The library splits texts by the pattern that ``common.parts`` is proven for, so the parts have the
+    same ids alone as in their text; each is encoded once and remembered. Texts that can't be cut that
+    way, or that hold one of the tokenizer's added tokens, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -59,39 +56,58 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.young: dict[str, bytes] = {}
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.old: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = self._first()
+
+    def _first(self) -> dict[str, bytes]:
+        return {"\n": np.array(self.feed, "<u4").tobytes()}
 
-    def _batch(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words without line feeds: as lines of one text, cut where a line feed's id is."""
+        if len(self.feed) != 1:
+            return self._whole(words)
+        ids = np.array(self._lines(words), "<u4")
+        cuts = np.flatnonzero(ids == self.feed[0])
+        if len(cuts) != len(words) - 1:
+            return self._whole(words)
+        data, ends = ids.tobytes(), [*(cuts * 4).tolist(), len(ids) * 4]
+        return [data[a:b] for a, b in zip([0, *(x + 4 for x in ends)], ends)]
+
+    def _lines(self, words: list[str]) -> list[int]:
+        return self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        whole = [i for i, x in enumerate(texts) if _ODD.search(x) or any(a in x for a in self.added)]
-        skip = set(whole)
-        words: dict[int, list[str]] = {}
+        whole: list[int] = []
+        split: dict[int, list[str]] = {}
         needed: set[str] = set()
         for i, x in enumerate(texts):
-            if x and i not in skip:
-                # A line feed stays with the word after it; a word at the start has no blank before it.
-                words[i] = units = x.replace("\n", " \n").split(" ")
-                units[0] = "\0" + units[0]
-                needed.update(units)
+            found = None if any(a in x for a in self.added) else parts(x)
+            if found:
+                split[i] = found
+                needed.update(found)
+            elif x:
+                whole.append(i)
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, self._first()
         young, old = self.young, self.old
-        if len(young) > REMEMBERED:
-            self.old, self.young = old, young = young, {}
         missing = []
-        for w in needed - young.keys():
-            if (known := old.get(w)) is None:
-                missing.append(w)
-            else:
-                young[w] = known
-        plain = [w[1:] if w[0] == "\0" else w if w[0] == "\n" else " " + w for w in missing]
-        young.update(zip(missing, self._batch(plain)))
+        for w in needed:
+            if w not in young:
+                if (known := old.get(w)) is None:
+                    missing.append(w)
+                else:
+                    young[w] = known
+        if missing:
+            young.update(zip(missing, self._words(missing)))
         out = [b""] * len(texts)
-        for i, units in words.items():
-            out[i] = b"".join(map(young.__getitem__, units))
-        for i, ids in zip(whole, self._batch([texts[i] for i in whole])):
+        for i, found in split.items():
+            out[i] = b"".join(map(young.__getitem__, found))
+        for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
             out[i] = ids
         return out
 

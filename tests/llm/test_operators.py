@@ -343,3 +343,28 @@ def test_mix_of_odd_rows(odd, odd_rows, empty):
 
 def test_schema_of_fixture():
     assert "fingerprint" in SCHEMA  # the odd rows hold columns that clash with results
+
+
+@pytest.mark.parametrize("text", ["a b\nc", "x,y. z", "don't 's,'ll", "wow!! #1 a,,b ,c", "a  b", " a", "a\n", "a\tb c", "é_ü, ß-x; (q)", "1,000.50 %", "a\x1c b", "", "thnd*** is&&& x,###"])
+def test_parts_keep_the_matches(text):
+    import regex
+
+    from plantspark.llm.common import SPLIT_PATTERN, parts
+
+    assert SPLIT_PATTERN == public_tokenizers.PATTERN
+    found, whole = parts(text), regex.findall(SPLIT_PATTERN, text)
+    assert found is None or [m for p in found for m in regex.findall(SPLIT_PATTERN, p)] == whole
+
+
+def test_parts_of_random_texts():
+    import regex
+
+    from plantspark.llm.common import SPLIT_PATTERN, parts
+
+    r, seen = np.random.default_rng(6), 0
+    for _ in range(4000):
+        text = "".join(r.choice(list("aé1,.!'_# \n\t"), int(r.integers(1, 12)), p=[0.3, 0.05, 0.05, 0.1, 0.1, 0.05, 0.05, 0.02, 0.05, 0.16, 0.05, 0.02]))
+        if found := parts(text):
+            seen += 1
+            assert [m for p in found for m in regex.findall(SPLIT_PATTERN, p)] == regex.findall(SPLIT_PATTERN, text), text
+    assert seen > 500
