@@ -35,13 +35,13 @@ from pyspark.sql import functions as F
 from .common import SPLIT_PATTERN, let, parts, whole_text
 
 #: Most pieces of the dictionary, and texts read to find them.
-DICTIONARY_PIECES = 1 << 18
+DICTIONARY_PIECES = 1 << 17
 SAMPLE_TEXTS = 12_000
 #: Most other pieces that a task keeps at a time.
 REMEMBERED = 200_000
 
 _LOW = 1 << 16
-_NONE = 1 << 40
+_NONE = -1
 #: More than any array's length.
 _NONE_LEFT = 1 << 30
 
@@ -74,7 +74,7 @@ def vocabulary(path: str) -> Vocabulary:
             a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
             if a is not None and b is not None:
                 rows.setdefault(a, []).append((b, rank))
-    cells = 4 * max(1024, sum(map(len, rows.values())))
+    cells = 2 * max(1024, sum(map(len, rows.values())))
     while (made := _displaced(rows, size, cells)) is None:
         cells *= 2
     tokens = [b""] * size
@@ -105,8 +105,8 @@ def _displaced(rows: dict[int, list[tuple[int, int]]], size: int, cells: int):
 
 
 def _numbers(values, kind: str) -> Column:
-    """An array literal that the optimizer folds, from text, so that a long one is quick to build."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+    """An array literal that the optimizer folds, from text, so that a long one is quick to build; nulls for negative numbers."""
+    return F.from_json(F.lit(f"[{','.join('null' if x < 0 else str(x) for x in values)}]"), f"array<{kind}>")
 
 
 def fold_all(pieces: Column, vocab: Vocabulary) -> Column:
@@ -124,10 +124,10 @@ def fold_all(pieces: Column, vocab: Vocabulary) -> Column:
             let(F.hex(piece), lambda x: F.transform(places, lambda i: F.get(byte_ids, digit(x, i * 2 - 1) * 16 + digit(x, i * 2))))
         )
         edge = F.array(F.lit(end).cast("bigint"))
-        # Scores stand with the left id of their pair; a score below 2**16 is the pair's rank.
+        # Scores stand with the left id of their pair; one below 2**16 is the pair's rank, a null is of an empty cell.
         with_best = lambda ids, scores: let(
             scores,
-            lambda x: F.struct(ids.alias("ids"), x.alias("scores"), F.array_min(x).alias("best"), F.array_position(x, F.array_min(x)).cast("int").alias("at")),
+            lambda x: F.struct(ids.alias("ids"), x.alias("scores"), F.coalesce(F.array_min(x), F.lit(_LOW)).alias("best"), F.array_position(x, F.array_min(x)).cast("int").alias("at")),
         )
         start = let(
             F.concat(edge, own, edge),
