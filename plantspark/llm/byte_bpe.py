@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPLIT_PATTERN, let, parts, whole_text
+from .common import SPLIT_PATTERN, let, map_arrow, parts, whole_text
 
 #: Most pieces of the dictionary, and texts read to find them.
 DICTIONARY_PIECES = 1 << 17
@@ -40,6 +40,9 @@ SAMPLE_TEXTS = 12_000
 #: Most other pieces that a task keeps at a time.
 REMEMBERED = 200_000
 
+#: Characters of a plan's text that are kept.
+PLAN_TEXT = "200000"
+
 _LOW = 1 << 16
 _NONE = -1
 #: More than any array's length.
@@ -185,6 +188,10 @@ def _cut(lists: pa.ListArray) -> list[bytes]:
 def _encoded(documents: DataFrame, path: str, pattern: str, key: str, text: str, finish: Callable, ddl: str) -> DataFrame:
     """Encodes each row and gives its key and ids (little-endian, 4 bytes each) to ``finish``."""
     vocab = vocabulary(path)
+    # Plans hold the rank map; their texts, which Spark keeps of every execution, needn't spell it out.
+    conf = documents.sparkSession.conf
+    if int(conf.get("spark.sql.maxPlanStringLength", PLAN_TEXT)) > int(PLAN_TEXT):
+        conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
     # Either Arrow step gets only its half of the dictionary.
     names, ids_of = map(documents.sparkSession.sparkContext.broadcast, _dictionary(documents, text, pattern, vocab))
     rows = documents.select(F.col(key).alias("key"), whole_text(F.col(text)).alias("text"))
@@ -244,10 +251,10 @@ def _encoded(documents: DataFrame, path: str, pattern: str, key: str, text: str,
                     made.append(b"".join([ids[c] for c in np.frombuffer(code.as_py(), "<i4").tolist()]))
                 yield finish(part.column(0), made)
 
-    folded = rows.mapInArrow(split, f"key {kind}, codes binary, rare array<string>, anew boolean").select(
+    folded = map_arrow(rows, split, f"key {kind}, codes binary, rare array<string>, anew boolean").select(
         "key", "codes", F.when(F.size("rare") > 0, fold_all(F.col("rare"), vocab)).alias("folds"), "anew"
     )
-    return folded.mapInArrow(joined, f"`{key}` {kind}, {ddl}")
+    return map_arrow(folded, joined, f"`{key}` {kind}, {ddl}")
 
 
 def encode_documents(documents: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -276,7 +283,7 @@ def decode_documents(encoded: DataFrame, path: str, key: str = "doc_id", ids: st
             made = [decode(np.array(x.as_py() or [], "<u4").tobytes(), tokens.value) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=[key, "bytes"])
 
-    return rows.mapInArrow(decoded, f"`{key}` {kind}, bytes binary")
+    return map_arrow(rows, decoded, f"`{key}` {kind}, bytes binary")
 
 
 def round_trip(documents: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:

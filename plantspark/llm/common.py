@@ -75,6 +75,19 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+#: Rows of a batch that goes to a Python worker, where the session has Spark's default of 10,000.
+BATCH_ROWS = 1024
+_ROWS_KEY, _ROWS_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with batches small enough that texts don't fill workers and executors twice over."""
+    conf = df.sparkSession.conf
+    if conf.get(_ROWS_KEY, _ROWS_DEFAULT) == _ROWS_DEFAULT:
+        conf.set(_ROWS_KEY, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once for each row, however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -94,20 +107,23 @@ _LOOSE = re.compile(r"[.,](?<![^\W_][.,])")
 _MARKS = re.compile(r"(?<=[^\W_])(?=[!#$%&*,.:;?])")
 
 
+def marked(text: str) -> str | None:
+    """The text with a zero character between its parts (see ``parts``); None where the quick way can't tell."""
+    if not text or any(c in text for c in _ODD):
+        return None
+    out = text.replace(" ", "\0 ").replace("\n", "\0\n\0")
+    if any(c in text for c in "!#$%&*:;?") or _LOOSE.search(text):
+        return _MARKS.sub("\0", out)
+    return out.replace(",", "\0,").replace(".", "\0.")
+
+
 def parts(text: str) -> list[str] | None:
     """Parts of a text whose matches of SPLIT_PATTERN are those of the text; None where this quick way can't tell.
 
     The pattern always cuts before a blank that has other characters than white space at both
-    sides, around a line feed that does, and before marks like commas after a letter or number.
-    Empty texts, and texts with white space in other places, give None.
+    sides, around a line feed that does, and before a punctuation mark (but an apostrophe) after a
+    letter or number. Empty texts, and texts with white space in other places, give None.
     """
-    if not text or any(c in text for c in _ODD):
-        return None
-    marked = text.replace(" ", "\0 ").replace("\n", "\0\n\0")
-    if any(c in text for c in "!#$%&*:;?") or _LOOSE.search(text):
-        marked = _MARKS.sub("\0", marked)
-    else:
-        marked = marked.replace(",", "\0,").replace(".", "\0.")
-    found = marked.split("\0")
+    found = (marked(text) or "").split("\0")
     # White space that doesn't stand alone between other characters leaves an empty part or a blank.
     return None if "" in found or " " in found else found

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 GRAM = 5
 GRAMS = 20_000
 RATIO = 4
@@ -146,7 +148,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
                     [pa.array([name] * len(value), pa.string()), pa.array(value.view(np.int64)), pa.array(count.astype(np.int64))], names=["lang", "gram", "n"]
                 )
 
-    grown = chosen.select("text", "lang").mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1")
+    grown = map_arrow(chosen.select("text", "lang"), counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1")
     from pyspark.sql import Window
 
     totals = Window.partitionBy("lang")
@@ -181,7 +183,7 @@ def predict(documents: DataFrame, model: Model, key: str = "doc_id", text: str =
                 [batch.column(0), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())], names=[key, "lang_pred", "score"]
             )
 
-    return rows.mapInArrow(predicted, f"`{key}` {rows.schema[0].dataType.simpleString()}, lang_pred string, score double")
+    return map_arrow(rows, predicted, f"`{key}` {rows.schema[0].dataType.simpleString()}, lang_pred string, score double")
 
 
 def accept(documents: DataFrame, model: Model, text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
@@ -195,4 +197,4 @@ def accept(documents: DataFrame, model: Model, text: str = "text", least: float
             answers = (own.predict(x.as_py()) for x in batch.column(place))
             yield batch.filter(pa.array([name != "und" and score >= least for name, score in answers], pa.bool_()))
 
-    return documents.mapInArrow(kept, documents.schema)
+    return map_arrow(documents, kept, documents.schema)

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 WIDTH = 8
 STRIDE = 2
 FILTERS = 16
@@ -156,7 +158,7 @@ def predict(documents: DataFrame, model: Model, key: str = "doc_id", text: str =
                 [batch.column(0), pa.array(out, pa.float64()), pa.array([int(x >= THRESHOLD) for x in out], pa.int32())], names=[key, "score", "predicted"]
             )
 
-    return rows.mapInArrow(scored, f"`{key}` {rows.schema[0].dataType.simpleString()}, score double, predicted int")
+    return map_arrow(rows, scored, f"`{key}` {rows.schema[0].dataType.simpleString()}, score double, predicted int")
 
 
 def accept(documents: DataFrame, model: Model, text: str = "text", least: float = THRESHOLD) -> DataFrame:
@@ -169,4 +171,4 @@ def accept(documents: DataFrame, model: Model, text: str = "text", least: float
         for batch in batches:
             yield batch.filter(pa.array([own.score((x.as_py() or "").encode()) >= least for x in batch.column(place)], pa.bool_()))
 
-    return documents.mapInArrow(kept, documents.schema)
+    return map_arrow(documents, kept, documents.schema)

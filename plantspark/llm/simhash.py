@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import map_arrow, written
 
 SHINGLE = 3
 SEED = 42
@@ -75,7 +75,7 @@ def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text")
             prints = np.fromiter((simhash(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["key", "fingerprint"])
 
-    return rows.mapInArrow(hashed, f"key {kind}, fingerprint long")
+    return map_arrow(rows, hashed, f"key {kind}, fingerprint long")
 
 
 def _syndrome(half: Column) -> Column:
@@ -182,7 +182,7 @@ def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], schema=schema)
 
     ordered = dealt.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
-    return ordered.mapInArrow(compared, "a long, b long").distinct()
+    return map_arrow(ordered, compared, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

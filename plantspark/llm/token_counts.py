@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 CHUNK = 1 << 17
 OVERLAP = 1 << 10
 LIMIT = 4096
@@ -105,5 +107,5 @@ def token_counts(documents: DataFrame, path: str, key: str = "doc_id", text: str
                 counts = [n if len(x) <= CHUNK else count_long(x, path) for n, x in zip(counts, texts)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(counts, pa.int64())], names=[key, "n_bytes", "n_tokens"])
 
-    made = rows.mapInArrow(counted, f"`{key}` {rows.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long")
+    made = map_arrow(rows, counted, f"`{key}` {rows.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long")
     return made.withColumn("over_limit", F.col("n_tokens") > limit)

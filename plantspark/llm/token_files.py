@@ -26,17 +26,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts
+from .common import map_arrow, marked
 
 BLOCK = 1 << 16
 PLANES = 4
 LEVEL = 3
-#: Texts that are encoded at a time, and words remembered by a worker (in each of two generations).
-BATCH = 256
+#: Characters that are encoded at a time (or one text), and words remembered by a worker (in each of two generations).
+BATCH = 1 << 22
 REMEMBERED = 500_000
 
 
@@ -80,33 +81,51 @@ class WordEncoder:
     def _lines(self, words: list[str]) -> list[int]:
         return self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        whole: list[int] = []
-        split: dict[int, list[str]] = {}
-        needed: set[str] = set()
-        for i, x in enumerate(texts):
-            found = None if any(a in x for a in self.added) else parts(x)
-            if found:
-                split[i] = found
-                needed.update(found)
-            elif x:
-                whole.append(i)
+    def _remembered(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, from memory where they are there."""
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, self._first()
         young, old = self.young, self.old
-        missing = []
-        for w in needed:
-            if w not in young:
-                if (known := old.get(w)) is None:
-                    missing.append(w)
-                else:
-                    young[w] = known
-        if missing:
-            young.update(zip(missing, self._words(missing)))
+        found = list(map(young.get, words))
+        if None in found:
+            missing = []
+            for w, ids in zip(words, found):
+                if ids is None:
+                    if (known := old.get(w)) is None:
+                        missing.append(w)
+                    else:
+                        young[w] = known
+            if missing:
+                young.update(zip(missing, self._words(missing)))
+            found = list(map(young.__getitem__, words))
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
         out = [b""] * len(texts)
-        for i, found in split.items():
-            out[i] = b"".join(map(young.__getitem__, found))
+        cut = [None if any(a in x for a in self.added) else marked(x) for x in texts]
+        quick = [i for i, x in enumerate(cut) if x is not None]
+        whole = [i for i, x in enumerate(cut) if x is None and texts[i]]
+        if quick:
+            lists = pc.split_pattern(pa.array([cut[i] for i in quick], pa.large_string()), "\0")
+            coded = lists.values.dictionary_encode()
+            words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+            bounds = lists.offsets.to_numpy()
+            # White space that doesn't stand alone leaves an empty word or a blank: such texts go whole.
+            odd = np.isin(codes, [k for k, w in enumerate(words) if w in ("", " ")])
+            ids = self._remembered([w if w not in ("", " ") else "\n" for w in words])
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+            each = sizes[codes]
+            ends = np.cumsum(each)
+            made = flat[np.repeat(starts[codes] - ends + each, each) + np.arange(len(codes) and ends[-1])]
+            at = np.concatenate([[0], ends])[bounds]
+            bad = np.add.reduceat(odd, bounds[:-1]) > 0
+            for k, i in enumerate(quick):
+                if bad[k]:
+                    whole.append(i)
+                else:
+                    out[i] = made[at[k] : at[k + 1]].tobytes()
         for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
             out[i] = ids
         return out
@@ -179,8 +198,10 @@ def write(documents: DataFrame, folder: str, path: str, key: str = "doc_id", tex
             return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(row, _SCHEMA)], schema=_SCHEMA)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                piece = batch.slice(at, BATCH)
+            sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            cuts = [0, *(np.flatnonzero(np.diff(sizes // BATCH)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+            for at, to in zip(cuts, cuts[1:]):
+                piece = batch.slice(at, to - at)
                 for k, ids in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist())):
                     waiting.append((k, ids + end, 0))
                     size += len(ids) // 4 + 1
@@ -189,7 +210,7 @@ def write(documents: DataFrame, folder: str, path: str, key: str = "doc_id", tex
         if size:
             yield cut(size)
 
-    rows.mapInArrow(blocks, _DDL).write.parquet(folder)
+    map_arrow(rows, blocks, _DDL).write.parquet(folder)
 
 
 def _times(a: int, b: int) -> int:
@@ -243,7 +264,7 @@ def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
                     names=["key", "start", "before", "n", "crc"],
                 )
 
-    found = blocks.mapInArrow(segments, "key long, start long, before long, n long, crc long")
+    found = map_arrow(blocks, segments, "key long, start long, before long, n long, crc long")
     grouped = found.groupBy("start", "key").agg(F.sort_array(F.collect_list(F.struct("before", "n", "crc"))).alias("s"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,4 +280,4 @@ def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
                 [batch.column(1), batch.column(0), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], names=[key, "start", "n_tokens", "ids_crc32"]
             )
 
-    return grouped.mapInArrow(joined, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(grouped, joined, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
