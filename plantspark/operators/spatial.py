@@ -201,12 +201,13 @@ def merge_points(points: DataFrame, radius: int = 20) -> DataFrame:
 def nearest_segment(links: DataFrame, segments: DataFrame, below: int = 200) -> DataFrame:
     """For each link (pid_id, a, b, ax, ay, bx, by) the segment whose ends are nearest to the link's, in either direction.
 
-    The score is the sum of both distances and must be below the bound; ties go to the first segment.
+    The score is the sum of both distances and must be below the bound, else segment and score are null; ties go to
+    the first segment.
     """
     s = segments.select("pid_id", "seg_id", *_BOX[1:])
     d = lambda p, q: g.distance(F.col(f"{p}x"), F.col(f"{p}y"), F.col(f"x{q}"), F.col(f"y{q}"))
     score = F.round(F.least(d("a", 1) + d("b", 2), d("a", 2) + d("b", 1)), 6)
-    best = links.join(s, "pid_id").withColumn("score", score).where(F.col("score") < below).groupBy("a", "b").agg(F.min(F.struct("score", "seg_id")).alias("m"))
+    best = links.join(s, "pid_id", "left").withColumn("score", score).groupBy("a", "b").agg(F.min(F.when(F.col("score") < below, F.struct("score", "seg_id"))).alias("m"))
     return best.select("a", "b", F.col("m.seg_id").alias("seg_id"), F.col("m.score").alias("score"))
 
 

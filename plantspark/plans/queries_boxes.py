@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions import geometry as g
 from ..functions import tags as t
 from ..functions.dims import SOURCE_PRIORITY, sql_case
 from ..operators import spatial as s
-from .catalogue import register
+from .catalogue import register, sql_of
 from .fixtures import Fixtures
 
 _INTER = "greatest(0, least({p}.x2, {q}.x2) - greatest({p}.x1, {q}.x1)) * greatest(0, least({p}.y2, {q}.y2) - greatest({p}.y1, {q}.y1))"
@@ -231,6 +233,35 @@ c AS (SELECT l.a, l.b, s.seg_id, round(least(sqrt((ax - x1) * (ax - x1) + (ay -
 SELECT a, b, seg_id, score FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY score, seg_id) AS n FROM c WHERE score < 200) WHERE n = 1""")
 def edge_segment(fx: Fixtures) -> DataFrame:
     links = fx.segments.where("seg_id % 7 = 0").selectExpr("pid_id", "seg_id AS a", "seg_id + 1 AS b", "x1 + 3 AS ax", "y1 + 4 AS ay", "x2 + 5 AS bx", "y2 + 2 AS by")
+    return s.nearest_segment(links, fx.segments).where("seg_id is not null")
+
+
+def _ends(fx: Fixtures) -> DataFrame:
+    return fx.segments.select("pid_id", F.col("seg_id").alias("junc_id"), F.col("x2").alias("x"), F.col("y2").alias("y"))
+
+
+def _unfiltered(name: str) -> str:
+    """The SQL of a query that takes a part of the segments, over all of them."""
+    return re.sub(r" WHERE seg_id % \d+ = \d+", "", sql_of(name))
+
+
+@register(_unfiltered("junction_segments"))
+def junction_segments_all(fx: Fixtures) -> DataFrame:
+    """The points of all segments."""
+    found = s.junction_segments(_ends(fx), fx.segments)
+    text = F.array_join(F.array_sort(F.transform("seg_ids", lambda x: x.cast("string"))), ",")
+    return found.select("pid_id", "junc_id", text.alias("segs"), F.size("seg_ids").cast("long").alias("n"))
+
+
+@register(_unfiltered("junction_cluster"))
+def junction_cluster_all(fx: Fixtures) -> DataFrame:
+    return s.merge_points(_ends(fx))
+
+
+@register(_unfiltered("edge_segment").replace("SELECT a, b, seg_id, score FROM (", "SELECT l.a, l.b, m.seg_id, m.score FROM l LEFT JOIN (").replace(" WHERE n = 1", " m ON l.a = m.a AND l.b = m.b AND m.n = 1"))
+def edge_segment_all(fx: Fixtures) -> DataFrame:
+    """The links of all segments; those without a segment near them have nulls."""
+    links = fx.segments.selectExpr("pid_id", "seg_id AS a", "seg_id + 1 AS b", "x1 + 3 AS ax", "y1 + 4 AS ay", "x2 + 5 AS bx", "y2 + 2 AS by")
     return s.nearest_segment(links, fx.segments)
 
 
