@@ -55,6 +55,12 @@ STATEMENTS: dict[str, tuple[tuple[str, ...], str]] = {
  CAST(node_id % 100 AS DOUBLE) / CAST(100 AS DOUBLE) AS confidence,
  (node_id * 13) % 1800 AS x, (node_id * 29) % 1000 AS y
  FROM (SELECT src AS node_id FROM {edges} UNION SELECT dst AS node_id FROM {edges}) t""",
+    ),
+    # The graph of all line items; edges and nodes above are that of one order in sixteen.
+    "all_edges": (
+        ("lineitem",),
+        """SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM
+ (SELECT l_partkey AS a, (l_partkey * 7 + l_suppkey) % 2000 AS b FROM {lineitem}) t WHERE a <> b""",
     ),
     "docs": (
         ("customer",),
@@ -93,6 +99,7 @@ STATEMENTS: dict[str, tuple[tuple[str, ...], str]] = {
  FROM {boxes} WHERE node_id % 3 <> 0""",
     ),
 }
+STATEMENTS["all_nodes"] = (("all_edges",), STATEMENTS["nodes"][1].replace("{edges}", "{all_edges}"))
 TABLES = ("lineitem", "orders", "customer", "supplier", "part", "nation", "region", "events", "embeddings", "documents", "conversations", "pages")
 
 

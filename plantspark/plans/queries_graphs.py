@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dims import SYMBOL_TYPES, sql_case
 from ..operators import exports, graphs, requests
-from .catalogue import register
+from .catalogue import Query, register, sql_of
 from .fixtures import Fixtures
 
 _BOTH = "b AS (SELECT src AS a, dst AS b FROM fx_edges UNION ALL SELECT dst, src FROM fx_edges)"
@@ -159,3 +161,26 @@ def classify_cc(fx: Fixtures) -> DataFrame:
     size, key = F.col("p_size"), F.col("p_partkey")
     made = requests.component_class(size * 37, size + F.lit(20.0), size * 30.0 + key, 10 + key % 40, 10.0 + size)
     return fx.part.select("p_partkey", made["symbol_class"].alias("symbol_class"))
+
+
+#: Recursive SQL for components is too slow on a large component.
+_NO_SQL = ("components", "graph_summary")
+
+
+def _over_all(query: Query) -> None:
+    """Registers a graph query as <name>_all over the graph of all line items."""
+
+    def run(fx: Fixtures) -> DataFrame:
+        return query(SimpleNamespace(edges=fx.all_edges, nodes=fx.all_nodes))
+
+    name = query.__name__
+    run.__name__ = f"{name}_all"
+    register("" if name in _NO_SQL else sql_of(name).replace("fx_edges", "fx_all_edges").replace("fx_nodes", "fx_all_nodes"))(run)
+
+
+# All graph queries but paths_cutoff: simple paths of a dense graph are too many to list.
+for _query in (
+    degree, components, prune_degree1, prune_isolates, build_graph, graph_summary, ego_2hop, reachability, induced_subgraph, layout_grid, graph_to_api,
+    type_breakdown, sink_node_link, sink_graphml, nodes_by_class, nodes_by_tag, highlight, graph_chunks, roi_rectangles,
+):
+    _over_all(_query)
