@@ -4,7 +4,7 @@ A text is normalised: lower case, copyright and rights-reserved lines out, title
 kept as words, equivalent spellings mapped to one, everything but letters and digits turned
 into single blanks. Its SHA-256 is joined to the digests of known licence texts, normalised
 by the same expressions. The known side has one row per digest, and there are as many as
-``KNOWN`` has entries (a fixed, small number), so it is broadcast.
+``license_texts`` has texts (a fixed, small number), so it is broadcast.
 
 Null and empty texts have the digest of no words and match nothing. Repeated rows each get
 their own answer. Columns of the input besides key and text are dropped.
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import whole_text
-from .license_texts import KNOWN
+from .license_texts import KNOWN, whole_texts
 
 #: Equivalent spellings, each mapped to the first of its line.
 SPELLINGS = (
@@ -54,7 +54,7 @@ def digest(text: Column) -> Column:
 
 def known_digests(spark: SparkSession) -> DataFrame:
     """(license, license_digest) of the known texts."""
-    rows = [(name, text) for name, texts in KNOWN.items() for text in texts]
+    rows = [(name, text) for name, texts in KNOWN.items() for text in texts] + whole_texts()
     known = spark.createDataFrame(rows, "license string, text string").select("license", digest(F.col("text")).alias("license_digest"))
     return known.groupBy("license_digest").agg(F.min("license").alias("license"))
 

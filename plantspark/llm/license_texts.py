@@ -1,4 +1,12 @@
-"""Whole texts of public licences and of their usual notices, without copyright lines."""
+"""Whole texts of public licences and of their usual notices, without copyright lines.
+
+Long licences are files in ``licences``, as their publishers word them, with their titles.
+"""
+
+from __future__ import annotations
+
+import re
+from importlib import resources
 
 _AS_IS_BSD = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 
@@ -63,3 +71,35 @@ KNOWN: dict[str, tuple[str, ...]] = {
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.",),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
 }
+
+#: Licence by the file that holds its whole text.
+FILES = {
+    "Apache-2.0": "Apache-2.0",
+    "Artistic": "Artistic-1.0-Perl",
+    "BSD": "BSD-3-Clause",
+    "CC0-1.0": "CC0-1.0",
+    "GFDL-1.2": "GFDL-1.2",
+    "GFDL-1.3": "GFDL-1.3",
+    "GPL-1": "GPL-1.0",
+    "GPL-2": "GPL-2.0",
+    "GPL-3": "GPL-3.0",
+    "LGPL-2": "LGPL-2.0",
+    "LGPL-2.1": "LGPL-2.1",
+    "LGPL-3": "LGPL-3.0",
+    "MPL-1.1": "MPL-1.1",
+    "MPL-2.0": "MPL-2.0",
+}
+#: Where the advice on use after a licence's terms begins.
+_ADVICE = re.compile(r"(?m)^[ \t]*(?:APPENDIX: How to apply|Appendix: How to Apply|How to Apply These Terms|ADDENDUM: How to use)")
+_ADDRESS = re.compile(r"51 Franklin Street, Fifth Floor,\s+Boston,\s+MA\s+02110-1301,?\s+USA\.?")
+_ADDRESSES = ("59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "")
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the files: whole and without the advice at the end, with either address of the foundation or none."""
+    out = []
+    for file, name in FILES.items():
+        text = resources.files(__package__).joinpath("licences", f"{file}.txt").read_text(encoding="utf-8")
+        for one in (text, _ADVICE.split(text)[0]):
+            out += [(name, x) for x in dict.fromkeys([one, *(_ADDRESS.sub(a, one) for a in _ADDRESSES)])]
+    return list(dict.fromkeys(out))
