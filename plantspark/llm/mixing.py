@@ -75,8 +75,9 @@ def mix(
     source: str = "source",
     seed: str = "mix",
     cells: int = 4096,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Per row: key, source, size, source_size, target, copies, and taken = copies * size."""
+    """Per row: key, source, size, source_size, target, copies, and taken = copies * size; then the columns of ``carry``."""
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")), 1, _DIGITS)
     rows = documents.select(
         F.col(key).alias("key"),
@@ -85,6 +86,7 @@ def mix(
         F.conv(digits, 16, 10).cast("long").alias("u"),
         F.xxhash64(F.col(text)).alias("tie"),
         F.monotonically_increasing_id().alias("id"),
+        *(F.col(c).alias(f"carried{k}") for k, c in enumerate(carry)),
     )
     # The texts are read once; what follows reads a few numbers per document.
     rows = written(rows, "mix")
@@ -137,4 +139,5 @@ def mix(
         "target",
         copies.cast("long").alias("copies"),
         (copies * F.col("size")).cast("long").alias("taken"),
+        *(F.col(f"carried{k}").alias(c) for k, c in enumerate(carry)),
     )
