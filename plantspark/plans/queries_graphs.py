@@ -82,6 +82,15 @@ def paths_cutoff(fx: Fixtures) -> DataFrame:
     return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path"))
 
 
+@register()
+def paths_cutoff_10(fx: Fixtures) -> DataFrame:
+    """Simple paths of up to ten edges, the reference's cutoff, from the least node to its greatest neighbour."""
+    both = graphs.both_ways(fx.edges)
+    ends = both.join(both.agg(F.min("a").alias("s")), F.col("a") == F.col("s")).agg(F.min("a").alias("s"), F.max("b").alias("t")).first()
+    found = graphs.simple_paths(fx.edges, F.lit(ends["s"]), F.lit(ends["t"]), cutoff=10)
+    return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path"))
+
+
 @register("SELECT e.src, e.dst FROM fx_edges e JOIN fx_nodes a ON e.src = a.node_id JOIN fx_nodes b ON e.dst = b.node_id WHERE a.symbol_class <> 'junction' AND b.symbol_class <> 'junction'")
 def induced_subgraph(fx: Fixtures) -> DataFrame:
     return graphs.induced(fx.nodes, fx.edges, F.col("symbol_class") != "junction")
