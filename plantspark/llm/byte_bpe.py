@@ -2,8 +2,8 @@
 
 A text is split by the vocabulary's pattern; each piece is a byte array whose ranked merges
 are folded: the adjacent pair of lowest rank (the leftmost of equals) becomes one token,
-until no adjacent pair has a rank. Ranks are a literal map in the plan, laid out as two
-integer arrays by row displacement, so that a lookup takes constant time (a Spark map is
+until no adjacent pair has a rank. Ranks are a literal map of the plan, laid out as integer
+arrays by row displacement, so that a lookup takes constant time (a Spark map is
 searched from its start). Decoding concatenates the bytes of each id.
 
 Each row passes three steps in one task, without a shuffle: an Arrow step splits its text and
@@ -29,7 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPLIT_PATTERN, let, map_arrow, parts, whole_text
@@ -40,11 +40,11 @@ SAMPLE_TEXTS = 12_000
 #: Most other pieces that a task keeps at a time.
 REMEMBERED = 200_000
 
-#: Characters of a plan's text that are kept.
-PLAN_TEXT = "200000"
-
 _LOW = 1 << 16
-_NONE = -1
+#: The rank of pairs that don't merge, and the place of ranks in a token's number.
+_UNRANKED, _RANK_AT = _LOW - 1, 47
+#: An empty cell of the table.
+_NONE = 1 << 40
 #: More than any array's length.
 _NONE_LEFT = 1 << 30
 
@@ -54,11 +54,12 @@ class Vocabulary:
     """Tokens by id, and the rank of each mergeable pair by row displacement.
 
     The pair (a, b) merges to r where ``table[offset[a] + b] == a << 16 | r``. The id
-    ``len(tokens)`` stands at either end of a piece and is in no pair.
+    ``len(tokens)`` stands at either end of a piece and is in no pair. ``pairs[257 * x + y]`` is
+    the number (see ``fold_all``) of the byte x before the byte y, 256 being none.
     """
 
     tokens: tuple[bytes, ...]
-    byte_ids: tuple[int, ...]
+    pairs: np.ndarray
     offset: np.ndarray
     table: np.ndarray
 
@@ -83,7 +84,12 @@ def vocabulary(path: str) -> Vocabulary:
     tokens = [b""] * size
     for token, rank in ranks.items():
         tokens[rank] = token
-    return Vocabulary(tuple(tokens), tuple(ranks[bytes([i])] for i in range(256)), *made)
+    pairs = np.full((256, 257), _UNRANKED, np.int64)
+    for token, rank in ranks.items():
+        if len(token) == 2:
+            pairs[token[0], token[1]] = rank
+    pairs = (pairs << _RANK_AT) + np.array([[ranks[bytes([i])]] for i in range(256)])
+    return Vocabulary(tuple(tokens), pairs.ravel(), *made)
 
 
 def _displaced(rows: dict[int, list[tuple[int, int]]], size: int, cells: int):
@@ -107,62 +113,71 @@ def _displaced(rows: dict[int, list[tuple[int, int]]], size: int, cells: int):
     return offset, table
 
 
-def _numbers(values, kind: str) -> Column:
-    """An array literal that the optimizer folds, from text, so that a long one is quick to build; nulls for negative numbers."""
-    return F.from_json(F.lit(f"[{','.join('null' if x < 0 else str(x) for x in values)}]"), f"array<{kind}>")
+def rank_map(spark: SparkSession, vocab: Vocabulary) -> tuple[dict[str, Column], Column]:
+    """The rank map as constants of a plan (numbers of byte pairs, table, offsets), and the id at either end.
 
+    They are subqueries over one row of the driver, so Spark puts their values into the tasks as
+    literals, but not into the texts of plans, of which the driver keeps many.
+    """
+    columns = {"pairs": vocab.pairs, "table": vocab.table, "offset": vocab.offset}
+    row = pa.table({k: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, pa.int64())) for k, v in columns.items()})
+    frame = spark.createDataFrame(row)
+    return {k: frame.select(k).scalar() for k in columns}, F.lit(len(vocab.tokens))
 
-def fold_all(pieces: Column, vocab: Vocabulary) -> Column:
-    """Ids of each piece of an array, by ranked merges over its bytes."""
-    end = len(vocab.tokens)
 
-    def fold(piece: Column, table: Column, offset: Column, byte_ids: Column) -> Column:
-        score = lambda a, b: F.get(table, F.get(offset, a) + b).bitwiseXOR(F.shiftleft(a, 16))
-        places = F.sequence(F.lit(1), F.octet_length(piece))
-        digit = lambda x, i: F.instr(F.lit("123456789ABCDEF"), F.substring(x, i, F.lit(1)))
-        own = F.when(
-            F.octet_length(piece) == F.length(piece),
-            F.transform(places, lambda i: F.get(byte_ids, F.ascii(F.substring(piece, i, F.lit(1))))),
-        ).otherwise(
-            let(F.hex(piece), lambda x: F.transform(places, lambda i: F.get(byte_ids, digit(x, i * 2 - 1) * 16 + digit(x, i * 2))))
-        )
-        edge = F.array(F.lit(end).cast("bigint"))
-        # Scores stand with the left id of their pair; one below 2**16 is the pair's rank, a null is of an empty cell.
-        with_best = lambda ids, scores: let(
-            scores,
-            lambda x: F.struct(ids.alias("ids"), x.alias("scores"), F.coalesce(F.array_min(x), F.lit(_LOW)).alias("best"), F.array_position(x, F.array_min(x)).cast("int").alias("at")),
+def fold_all(rows: DataFrame, pieces: str, ranks: tuple[dict[str, Column], Column]) -> DataFrame:
+    """The rows with the ids of each piece of an array ``pieces``, a piece being an array of its bytes, as ``folds``.
+
+    A piece's state is one array with a number per token: the rank of its pair with the next token,
+    where the token begins and its id, from high bits to low. So the least number is the leftmost
+    of the pairs of lowest rank. Two tokens at the ends are in no pair.
+    """
+    edge = F.lit(_UNRANKED << _RANK_AT).cast("bigint") + ranks[1]
+
+    def fold(piece: Column, pairs: Column, table: Column, offset: Column) -> Column:
+        own = lambda state: state.bitwiseAND(_LOW - 1)
+        # A cell of another left token differs from it in high bits, an empty one is large: both end as _UNRANKED.
+        rank = lambda a, b: F.shiftleft(F.least(F.get(table, F.get(offset, a) + b).bitwiseXOR(F.shiftleft(a, 16)), F.lit(_UNRANKED).cast("bigint")), _RANK_AT)
+        begin = F.concat(
+            F.array(edge),
+            F.transform(piece, lambda x, i: F.get(pairs, x * 257 + F.coalesce(F.get(piece, i + 1), F.lit(256))) + F.shiftleft(i.cast("bigint"), 16)),
+            F.array(edge),
         )
-        start = let(
-            F.concat(edge, own, edge),
-            lambda ids: with_best(ids, F.transform(F.slice(ids, F.lit(1), F.size(ids) - 1), lambda a, i: score(a, F.get(ids, i + 1)))),
+
+        def merged(states: Column, least: Column) -> Column:
+            made = F.shiftright(least, _RANK_AT)
+
+            def at_place(at: Column) -> Column:
+                before = F.get(states, at - 2)
+                two = F.array(
+                    rank(own(before), made) + before.bitwiseAND((1 << _RANK_AT) - 1),
+                    rank(made, own(F.get(states, at + 1))) + least.bitwiseAND((1 << _RANK_AT) - _LOW) + made,
+                )
+                return F.concat(F.slice(states, F.lit(1), at - 2), two, F.slice(states, at + 2, F.lit(_NONE_LEFT)))
+
+            return let(F.array_position(states, least).cast("int"), at_place)
+
+        step = lambda states, _: let(
+            F.array_min(states), lambda least: F.when(least < _UNRANKED << _RANK_AT, merged(states, least)).otherwise(states)
         )
+        ids = lambda states: F.transform(F.slice(states, F.lit(2), F.size(states) - 2), lambda x: own(x).cast("int"))
+        return F.aggregate(F.slice(piece, F.lit(2), F.size(piece)), begin, step, ids)
+
+    # Bound once per row; the optimizer puts the subqueries where their columns are used.
+    folds = let(F.col("pairs"), lambda p: let(F.col("table"), lambda t: let(F.col("offset"), lambda o: F.transform(pieces, lambda x: fold(x, p, t, o)))))
+    return rows.withColumns(ranks[0]).select(*rows.columns, F.when(F.size(pieces) > 0, folds).alias("folds"))
+
+
+def _bytes_of(texts: pa.Array) -> pa.ListArray:
+    """Each text as a list of its bytes."""
+    texts = pa.concat_arrays([texts]) if texts.offset == 0 else pa.array(texts.to_pylist(), pa.string())
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, "<i4")[: len(texts) + 1] if len(texts) else np.zeros(1, "<i4")
+    flat = np.frombuffer(data, np.uint8)[: ends[-1]] if ends[-1] else np.zeros(0, np.uint8)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype("<i4")))
+
 
-        def merged(s: Column) -> Column:
-            ids, scores, best, at, rest = s["ids"], s["scores"], s["best"], s["at"], F.lit(_NONE_LEFT)
-            return with_best(
-                F.concat(F.slice(ids, F.lit(1), at - 1), F.array(best), F.slice(ids, at + 2, rest)),
-                F.concat(
-                    F.slice(scores, F.lit(1), at - 2),
-                    F.array(score(F.get(ids, at - 2), best), score(best, F.get(ids, at + 1))),
-                    F.slice(scores, at + 2, rest),
-                ),
-            )
-
-        step = lambda s, _: F.when(s["best"] >= _LOW, s).otherwise(merged(s))
-        done = F.aggregate(F.slice(places, F.lit(2), F.size(places)), start, step, lambda s: s["ids"])
-        return let(done, lambda x: F.slice(x, F.lit(2), F.size(x) - 2).cast("array<int>"))
-
-    # Bound once per row, so that the plan holds each literal once.
-    return let(
-        _numbers(vocab.table.tolist(), "bigint"),
-        lambda table: let(
-            _numbers(vocab.offset.tolist(), "bigint"),
-            lambda offset: let(_numbers(vocab.byte_ids, "bigint"), lambda byte_ids: F.transform(pieces, lambda p: fold(p, table, offset, byte_ids))),
-        ),
-    )
-
-
-def _dictionary(texts: DataFrame, text: str, pattern: str, vocab: Vocabulary) -> tuple[list[str], list[bytes]]:
+def _dictionary(texts: DataFrame, text: str, pattern: str, ranks: tuple[dict[str, Column], Column]) -> tuple[list[str], list[bytes]]:
     """Frequent pieces of about SAMPLE_TEXTS texts, chosen by hash, and the ids of each; DICTIONARY_PIECES at most."""
     share = min(1.0, SAMPLE_TEXTS / max(1, texts.count()))
     some = texts.select(text).where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < F.lit(share * (1 << 20)))
@@ -170,9 +185,18 @@ def _dictionary(texts: DataFrame, text: str, pattern: str, vocab: Vocabulary) ->
     counts = some.select(F.explode(pieces).alias("piece")).groupBy("piece").count()
     top = counts.where("length(piece) <= 64").orderBy(F.desc("count"), "piece").limit(DICTIONARY_PIECES)
     lists = top.groupBy(F.pmod(F.xxhash64("piece"), F.lit(64)).alias("part")).agg(F.collect_list("piece").alias("pieces"))
-    table = lists.select("pieces", fold_all(F.col("pieces"), vocab).alias("ids")).toArrow()
+
+    def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own in batch.column(0):
+                made = _bytes_of(own.values)
+                both = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (own.values, made)]
+                yield pa.RecordBatch.from_arrays(both, names=["pieces", "bytes"])
+
+    listed = map_arrow(lists.select("pieces"), as_bytes, "pieces array<string>, bytes array<array<int>>")
+    table = fold_all(listed, "bytes", ranks).select("pieces", "folds").toArrow()
     names, found = [], []
-    for own, ids in zip(table.column("pieces"), table.column("ids")):
+    for own, ids in zip(table.column("pieces"), table.column("folds")):
         names += own.as_py()
         found += _cut(ids.values)
     return names, found
@@ -187,13 +211,9 @@ def _cut(lists: pa.ListArray) -> list[bytes]:
 
 def _encoded(documents: DataFrame, path: str, pattern: str, key: str, text: str, finish: Callable, ddl: str) -> DataFrame:
     """Encodes each row and gives its key and ids (little-endian, 4 bytes each) to ``finish``."""
-    vocab = vocabulary(path)
-    # Plans hold the rank map; their texts, which Spark keeps of every execution, needn't spell it out.
-    conf = documents.sparkSession.conf
-    if int(conf.get("spark.sql.maxPlanStringLength", PLAN_TEXT)) > int(PLAN_TEXT):
-        conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
+    ranks = rank_map(documents.sparkSession, vocabulary(path))
     # Either Arrow step gets only its half of the dictionary.
-    names, ids_of = map(documents.sparkSession.sparkContext.broadcast, _dictionary(documents, text, pattern, vocab))
+    names, ids_of = map(documents.sparkSession.sparkContext.broadcast, _dictionary(documents, text, pattern, ranks))
     rows = documents.select(F.col(key).alias("key"), whole_text(F.col(text)).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
 
@@ -231,9 +251,9 @@ def _encoded(documents: DataFrame, path: str, pattern: str, key: str, text: str,
                         codes.append(np.array([numbered(p) for p in pieces(text)], "<i4").tobytes())
                     rare.append(new)
                     anew.append(restart)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(codes, pa.binary()), pa.array(rare, pa.list_(pa.string())), pa.array(anew)], names=["key", "codes", "rare", "anew"]
-                )
+                ends = np.cumsum([0, *map(len, rare)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _bytes_of(pa.array([x for new in rare for x in new], pa.string())))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codes, pa.binary()), lists, pa.array(anew)], names=["key", "codes", "rare", "anew"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = list(ids_of.value)
@@ -251,9 +271,7 @@ def _encoded(documents: DataFrame, path: str, pattern: str, key: str, text: str,
                     made.append(b"".join([ids[c] for c in np.frombuffer(code.as_py(), "<i4").tolist()]))
                 yield finish(part.column(0), made)
 
-    folded = map_arrow(rows, split, f"key {kind}, codes binary, rare array<string>, anew boolean").select(
-        "key", "codes", F.when(F.size("rare") > 0, fold_all(F.col("rare"), vocab)).alias("folds"), "anew"
-    )
+    folded = fold_all(map_arrow(rows, split, f"key {kind}, codes binary, rare array<array<int>>, anew boolean"), "rare", ranks).select("key", "codes", "folds", "anew")
     return map_arrow(folded, joined, f"`{key}` {kind}, {ddl}")
 
 
