@@ -11,11 +11,12 @@ N-grams are runs of ``GRAM`` bytes of the normalised text: lower-cased letters,
 else one blank, with a blank at either end. The whole text counts; texts are cut in pieces of
 bounded size that overlap by GRAM - 1 bytes, so memory stays bounded and no n-gram is lost.
 
-A language's filter holds its n-grams that are at least ``RATIO`` times as frequent in it as
-in any other; the ``GRAMS`` most frequent of them.
+A language's filter holds the ``GRAMS`` n-grams that are most frequent in it, whether other
+languages have them or not; n-grams that several have count for each of them.
 Learning reads at most about ``ROWS`` texts of each language (all, if there are fewer),
 chosen by a hash of the text; counting is distributed, and the driver gets
-at most GRAMS n-grams per language.
+at most GRAMS n-grams per language. A slot has one word of the mask for each ``WORD_BITS``
+languages, so there may be any number of them.
 
 A text that is null or has no letter is ``und`` with score 0. Ties go to the first language
 by name. Null languages teach nothing. If there is nothing to learn from, all is ``und``. Repeated
@@ -37,11 +38,10 @@ from .common import map_arrow
 
 GRAM = 5
 GRAMS = 20_000
-RATIO = 4
 ROWS = 1500
 HASHES = 3
 SLOTS = 1 << 19
-MOST_LANGUAGES = 64
+WORD_BITS = 64
 #: Characters that are handled at a time.
 PIECE = 1 << 20
 #: Least score with which ``accept`` keeps a document.
@@ -93,10 +93,10 @@ def pieces(text: str) -> Iterator[bytes]:
 
 @dataclass(frozen=True)
 class Model:
-    """The languages in order, the sliced table, and each filter's rate of false positives."""
+    """The languages in order, the sliced table (one per word of the mask), and each filter's rate of false positives."""
 
     languages: tuple[str, ...]
-    table: np.ndarray
+    tables: tuple[np.ndarray, ...]
     false_rate: np.ndarray
 
     def counts(self, text: str) -> tuple[np.ndarray, int]:
@@ -105,13 +105,13 @@ class Model:
         for data in pieces(text):
             g = grams(data)
             total += len(g)
-            masks = None
-            for s in slots(g):
-                row = self.table[s]
-                masks = row if masks is None else masks & row
-            if masks is not None:
-                for k in range(len(self.languages)):
-                    hits[k] += np.count_nonzero(masks & self.table.dtype.type(1 << k))
+            at = list(slots(g))
+            for word, table in enumerate(self.tables):
+                masks = table[at[0]]
+                for s in at[1:]:
+                    masks &= table[s]
+                for k in range(word * WORD_BITS, min(len(hits), (word + 1) * WORD_BITS)):
+                    hits[k] += np.count_nonzero(masks & table.dtype.type(1 << k % WORD_BITS))
         return hits, total
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -131,9 +131,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     languages = tuple(sorted(sizes))
     if not languages:
-        return Model((), np.zeros(SLOTS, np.uint8), np.zeros(0))
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+        return Model((), (), np.zeros(0))
     share = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, ROWS / sizes[k]))))
     chosen = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.try_element_at(share, F.col("lang")) * (1 << 20))
 
@@ -151,23 +149,25 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     grown = map_arrow(chosen.select("text", "lang"), counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1")
     from pyspark.sql import Window
 
-    totals = Window.partitionBy("lang")
-    rated = grown.withColumn("rate", F.col("n") / F.sum("n").over(totals))
-    # The n-gram's rate in its best language against that in the next best.
-    across = Window.partitionBy("gram").orderBy(F.desc("rate"), "lang")
-    own = rated.withColumn("place", F.row_number().over(across)).withColumn("second", F.lead("rate").over(across))
-    own = own.where(F.col("place") == 1).where(F.col("rate") >= RATIO * F.coalesce("second", F.lit(0.0)))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    top = own.withColumn("r", F.row_number().over(best)).where(F.col("r") <= GRAMS).select("lang", "gram").collect()
-
-    kind = np.dtype(f"u{max(1, 1 << max(0, (len(languages) - 1).bit_length() - 3))}")
-    table = np.zeros(SLOTS, kind)
-    for k, name in enumerate(languages):
-        values = np.array([r["gram"] for r in top if r["lang"] == name], dtype=np.int64).view(np.uint64)
-        for s in slots(values):
-            table[s] |= kind.type(1 << k)
-    fill = np.array([np.count_nonzero(table & kind.type(1 << k)) / SLOTS for k in range(len(languages))])
-    return Model(languages, table, fill**HASHES)
+    # Each task keeps GRAMS rows of a language before they meet.
+    top = grown.withColumn("r", F.row_number().over(best)).where(F.col("r") <= GRAMS).select("lang", "gram").toPandas()
+    return sliced({name: own.to_numpy(np.int64).view(np.uint64) for name, own in top.groupby("lang")["gram"]}, languages)
+
+
+def sliced(grams_of: dict[str, np.ndarray], languages: tuple[str, ...]) -> Model:
+    """The model whose filters hold the given n-grams of each language."""
+    tables, fill = [], []
+    for at in range(0, len(languages), WORD_BITS):
+        own = languages[at : at + WORD_BITS]
+        kind = np.dtype(f"u{max(1, 1 << max(0, (len(own) - 1).bit_length() - 3))}")
+        table = np.zeros(SLOTS, kind)
+        for k, name in enumerate(own):
+            for s in slots(grams_of.get(name, np.zeros(0, np.uint64))):
+                table[s] |= kind.type(1 << k)
+        fill += [np.count_nonzero(table & kind.type(1 << k)) / SLOTS for k in range(len(own))]
+        tables.append(table)
+    return Model(languages, tuple(tables), np.array(fill) ** HASHES)
 
 
 def predict(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
