@@ -7,8 +7,10 @@ the document, and a linear layer with a logistic link combines them into one pro
 A response is a sum of WIDTH table entries, one per byte, so a filter is one learned weight
 per place and byte value; its gradient goes to the place of its maximum.
 
-Learning reads at most about ``ROWS`` labelled texts of each label (chosen by a hash of the
-text), each up to TRAIN_BYTES bytes; scores always cover whole texts.
+Learning reads whole texts, chunk by chunk as scoring does: of each label the ``ROWS`` distinct
+texts of least salted hash, as far as they have ``TRAIN_BYTES`` bytes together. Copies of a text
+with one label are one, so the sample is bounded however often a text repeats. A single text
+longer than TRAIN_BYTES isn't learned from. Scores always cover whole texts.
 The seed is fixed and sums are in a fixed order, so equal inputs give equal scores.
 
 Null and empty texts are padded like any short text and get a score as well. Rows with a null
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow
@@ -33,7 +35,7 @@ STRIDE = 2
 FILTERS = 16
 CHUNK = 1 << 16
 ROWS = 1500
-TRAIN_BYTES = 1 << 17
+TRAIN_BYTES = 1 << 23
 EPOCHS = 8
 BATCH = 32
 RATE = 0.05
@@ -75,6 +77,21 @@ class Model:
             best = own if best is None else np.maximum(best, own)
         return best
 
+    def strongest(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The maxima of ``pooled``, and the bytes under each: one row of WIDTH bytes per filter."""
+        best, under = None, None
+        for b in chunks(data):
+            own = self.responses(b)
+            place = own.argmax(axis=0)
+            own = own[place, np.arange(FILTERS)]
+            bytes_there = b[place[:, None] * STRIDE + np.arange(WIDTH)]
+            if best is None:
+                best, under = own, bytes_there
+            else:
+                more = own > best
+                best, under = np.where(more, own, best), np.where(more[:, None], bytes_there, under)
+        return best, under
+
     def score(self, data: bytes) -> float:
         hidden = np.maximum(self.pooled(data) + self.bias, 0)
         return float(1 / (1 + np.exp(-np.clip(np.float64(hidden @ self.out) + self.out_bias, -30, 30))))
@@ -96,7 +113,6 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
         model.out_bias = float(np.log((share + 1e-6) / (1 - share + 1e-6)))
         return model
     weight = np.where(y == 1, share**-0.5, (1 - share) ** -0.5) * 0.5
-    data = [np.frombuffer(x[:TRAIN_BYTES].ljust(WIDTH, b"\0"), np.uint8) for x in texts]
     squares = [np.full_like(model.filters, 1e-6), np.full_like(model.bias, 1e-6), np.full_like(model.out, 1e-6)]
     bias_square = 1e-6
     for epoch in range(EPOCHS):
@@ -105,9 +121,8 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
             rows = order[at : at + BATCH]
             g_filters, g_bias, g_out, g_last = np.zeros_like(model.filters), np.zeros_like(model.bias), np.zeros_like(model.out), 0.0
             for i in rows:
-                found = model.responses(data[i])
-                place = found.argmax(axis=0)
-                hidden = found[place, np.arange(FILTERS)] + model.bias
+                found, under = model.strongest(texts[i])
+                hidden = found + model.bias
                 active = hidden > 0
                 hidden = np.where(active, hidden, 0)
                 p = 1 / (1 + np.exp(-np.clip(float(hidden @ model.out) + model.out_bias, -30, 30)))
@@ -117,7 +132,7 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
                 back = np.where(active, d * model.out, 0).astype(np.float32)
                 g_bias += back
                 for k in range(WIDTH):
-                    np.add.at(g_filters[k], (data[i][place * STRIDE + k], np.arange(FILTERS)), back)
+                    np.add.at(g_filters[k], (under[:, k], np.arange(FILTERS)), back)
             for value, g, s in ((model.filters, g_filters, squares[0]), (model.bias, g_bias, squares[1]), (model.out, g_out, squares[2])):
                 s += g * g
                 value -= (RATE * g / np.sqrt(s)).astype(np.float32)
@@ -126,23 +141,37 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
     return model
 
 
-def _sampled(rows: DataFrame) -> DataFrame:
-    """Of (label, h, …) about ROWS rows of each label, by the hash h; all, if there are fewer."""
-    sizes = {r["label"]: r["count"] for r in rows.where("label in (0, 1)").groupBy("label").count().collect()}
-    share = F.create_map(*(F.lit(x) for k in (0, 1) for x in (k, min(1.0, ROWS / max(1, sizes.get(k, 0))))))
-    return rows.where(F.pmod("h", F.lit(1 << 20)) < F.try_element_at(share, F.col("label")) * (1 << 20))
-
-
 def choose(rows: DataFrame) -> list[tuple[int, int]]:
-    """(key, label) of the rows (doc_id, h, label) to learn from, h being a hash of the text."""
-    return [(r["doc_id"], r["label"]) for r in _sampled(rows).select("doc_id", "label").collect()]
+    """(h, label) of the texts to learn from, of rows (h, label, n_bytes), h being a hash of the text."""
+    distinct = rows.where("label in (0, 1)").groupBy("label", "h").agg(F.max("n_bytes").alias("n_bytes")).where(F.col("n_bytes") <= TRAIN_BYTES)
+    order = Window.partitionBy("label").orderBy(F.xxhash64("h", F.lit(SEED)), "h")
+    # Each task keeps ROWS rows of a label before they meet.
+    first = distinct.withColumn("place", F.row_number().over(order)).where(F.col("place") <= ROWS).orderBy("label", "place").collect()
+    left, out = {0: TRAIN_BYTES, 1: TRAIN_BYTES}, []
+    for r in first:
+        left[r["label"]] -= r["n_bytes"]
+        if left[r["label"]] >= 0:
+            out.append((r["h"], r["label"]))
+    return out
+
+
+def learn(documents: DataFrame, known: DataFrame, text: str = "text") -> Model:
+    """Learns from the texts of documents whose hash is in ``known``, rows of (h, label 0 or 1, n_bytes).
+
+    Only hashes meet the labels; the few that are chosen then pick one copy of each text from a second scan.
+    """
+    chosen = choose(known)
+    few = F.broadcast(documents.sparkSession.createDataFrame(sorted({(h,) for h, _ in chosen}), "chosen long"))
+    own = documents.select(F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h")).where("text is not null")
+    found = own.join(few, F.col("h") == F.col("chosen"), "left_semi").groupBy("h").agg(F.first("text").alias("text"))
+    texts = {r["h"]: r["text"].encode() for r in found.collect()}
+    return train([texts[h] for h, _ in chosen], [k for _, k in chosen])
 
 
 def fit(rows: DataFrame, text: str = "text", label: str = "label") -> Model:
-    """Learns from (text, label 0 or 1). See the module for what is read."""
-    known = rows.select(F.encode(F.col(text), "utf-8").alias("text"), F.col(label).cast("int").alias("label"), F.xxhash64(F.col(text)).alias("h"))
-    read = _sampled(known.where("text is not null")).select(F.substring("text", 1, TRAIN_BYTES).alias("text"), "label", "h").orderBy("h", "label").collect()
-    return train([bytes(r["text"]) for r in read], [r["label"] for r in read])
+    """Learns from rows that have their label (0 or 1) with them."""
+    known = rows.where(F.col(text).isNotNull())
+    return learn(rows, known.select(F.xxhash64(F.col(text)).alias("h"), F.col(label).cast("int").alias("label"), F.octet_length(F.col(text)).alias("n_bytes")), text)
 
 
 def predict(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

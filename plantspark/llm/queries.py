@@ -26,16 +26,10 @@ def fit_language(documents: DataFrame) -> language_id.Model:
 
 
 def fit_quality(documents: DataFrame, labels: DataFrame) -> quality_model.Model:
-    """Learns from the labelled rows that aren't held out.
-
-    Only keys and hashes of texts meet the labels in a join. The chosen rows' keys, about twice
-    quality_model.ROWS of them, then pick the texts from a second scan.
-    """
+    """Learns from the labelled rows that aren't held out."""
     marks = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("label")).where("label is not null")
-    known = documents.where(~_held_out(QUALITY_FOLD)).where("text is not null").select("doc_id", F.xxhash64("text").alias("h"))
-    chosen = quality_model.choose(known.join(marks, F.col("doc_id") == F.col("label_id")).select("doc_id", "h", "label"))
-    few = F.broadcast(documents.sparkSession.createDataFrame(chosen, "chosen_id long, label int"))
-    return quality_model.fit(documents.select("doc_id", "text").join(few, F.col("doc_id") == F.col("chosen_id")).select("text", "label"))
+    rows = documents.where(~_held_out(QUALITY_FOLD)).where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n_bytes"))
+    return quality_model.learn(documents, rows.join(marks, F.col("doc_id") == F.col("label_id")).select("h", "label", "n_bytes"))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +50,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    rows = quality_rules.store(table(spark, sf_dir, "documents"), new_folder(spark, "ledger"))
     base = quality_rules.apply_policy(rows, "base", "passes_base")
     return quality_rules.apply_policy(base, "v2").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("passes_base")).alias("base_failed"), "kept", "failed"
