@@ -1,9 +1,10 @@
 """Quality rules as a ledger of failure bits (DataFrame functions only).
 
-``ledger`` evaluates every rule once per document and stores the measurements and a bit mask
-of the rules that failed. ``apply_policy`` turns a mask into a verdict by a versioned set of
-rules, and ``ablation`` counts, for each rule of a policy, what it alone rejects, both by
-bitwise operations on the stored mask without another look at the text.
+``ledger`` evaluates every rule once per document and gives the measurements and a bit mask
+of the rules that failed; ``store`` writes it as a table, and beside it the ablations of all
+policies. ``apply_policy`` turns a stored mask into a verdict by a versioned set of rules, and
+``ablation`` counts, for each rule of a policy, what it alone rejects: documents are counted by
+mask first, then masks are taken apart by their bits, without another look at the text.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]``. A null or empty text has no words and fails
 ``few_words``. Three-word windows are told apart by 64-bit hashes of their words, compared
@@ -25,7 +26,6 @@ from .common import BLANKS, WORD, let, whole_text, words
 SYMBOLS = "#*$%&|<>"
 
 #: The rules by bit. Fixed by the base contract: the first two.
-RULES: tuple[tuple[str, Column | None], ...] = ()
 FEW_WORDS, REPEATED_WORDS, MANY_SYMBOLS, DUPLICATE_LINES, SHORT_WORDS, LONG_WORDS, SHOUTING = range(7)
 RULE_NAMES = ("few_words", "repeated_words", "many_symbols", "duplicate_lines", "short_words", "long_words", "shouting")
 
@@ -65,7 +65,7 @@ def repeated_words(tokens: Column) -> Column:
 
 
 def measures(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper, n_lower."""
+    """Per row: key, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, n_upper."""
     t = whole_text(F.col(text))
     d = documents.select(F.col(key), t.alias("_t"), words(F.col(text)).alias("_w"))
     lines = F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(WORD))
@@ -77,7 +77,6 @@ def measures(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         let(lines, lambda x: F.size(x)).cast("long").alias("n_lines"),
         repeated_words(F.col("_w")).alias("n_repeat_words"),
-        F.octet_length("_t").cast("long").alias("n_bytes"),
         (F.length("_t") - F.length(F.regexp_replace("_t", "\\p{Lu}", ""))).cast("long").alias("n_upper"),
     )
 
@@ -117,13 +116,24 @@ def ablation(rows: DataFrame, version: str) -> DataFrame:
     On an empty ledger all counts are 0.
     """
     mask = policy_mask(version)
-    own = F.col("failed").bitwiseAND(mask)
-    counts = rows.agg(
-        F.count("*").alias("n_documents"),
-        *(F.count_if(own.bitwiseAND(1 << k) != 0).alias(f"f{k}") for k in POLICIES[version]),
-        *(F.count_if(own == 1 << k).alias(f"o{k}") for k in POLICIES[version]),
+    # At most as many masks as the policy's rules have subsets, however many documents there are.
+    masks = rows.groupBy(F.col("failed").bitwiseAND(mask).alias("own")).agg(F.count("*").alias("n"))
+    sum_where = lambda x: F.coalesce(F.sum(F.when(x, F.col("n"))), F.lit(0)).cast("long")
+    counts = masks.agg(
+        sum_where(F.lit(True)).alias("n_documents"),
+        *(sum_where(F.getbit("own", F.lit(k)) == 1).alias(f"f{k}") for k in POLICIES[version]),
+        *(sum_where(F.col("own").bitwiseXOR(1 << k) == 0).alias(f"o{k}") for k in POLICIES[version]),
     )
     rules = F.array(
         *(F.struct(F.lit(RULE_NAMES[k]).alias("rule"), F.col(f"f{k}").alias("n_failed"), F.col(f"o{k}").alias("n_only")) for k in POLICIES[version])
     )
     return counts.select(F.lit(version).alias("policy"), "n_documents", F.explode(rules).alias("r")).select("policy", "n_documents", "r.*")
+
+
+def store(documents: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Writes the tables ``ledger`` and ``ablations`` to the folder; the stored ledger."""
+    spark, own = documents.sparkSession, ledger(documents, key, text)
+    own.write.parquet(f"{folder}/ledger")
+    rows = spark.read.schema(own.schema).parquet(f"{folder}/ledger")
+    reduce(DataFrame.unionByName, (ablation(rows, version) for version in POLICIES)).write.parquet(f"{folder}/ablations")
+    return rows
