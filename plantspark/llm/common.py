@@ -67,6 +67,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that ``written`` made, once nothing that is still to be computed reads them."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            jvm = df.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """A column name like ``name`` that is none of ``taken``, in any case of letters."""
     low = {x.lower() for x in taken}
