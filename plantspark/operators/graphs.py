@@ -67,9 +67,10 @@ def prune_leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def prune_isolated(nodes: DataFrame, edges: DataFrame, below: float = 0.5) -> DataFrame:
-    """Nodes without those of no edge, no tag and little confidence."""
+    """Nodes without those of no edge, no tag and little confidence; nodes whose ``source``, if there is one, is ``ocr_injected`` stay."""
     alone = degree(nodes, inside(edges, nodes)).where("degree = 0").select(F.col("node_id").alias("alone"))
-    bad = nodes.where((F.col("isa_tag") == "") & (F.col("confidence") < below)).select("node_id").join(alone, F.col("node_id") == F.col("alone"), "left_semi")
+    injected = F.coalesce(F.col("source") == "ocr_injected", F.lit(False)) if "source" in nodes.columns else F.lit(False)
+    bad = nodes.where((F.col("isa_tag") == "") & (F.col("confidence") < below) & ~injected).select("node_id").join(alone, F.col("node_id") == F.col("alone"), "left_semi")
     return nodes.join(bad.select(F.col("node_id").alias("bad")), F.col("node_id") == F.col("bad"), "left_anti")
 
 

@@ -25,8 +25,9 @@ def cosine_distance(a: Column, b: Column) -> Column:
 def search(vectors: DataFrame, query: Sequence[float], k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k nearest rows with their distance; 1 to 50 of them."""
     q = F.array(*(F.lit(float(x)) for x in query))
-    rows = vectors.withColumn("distance", F.round(cosine_distance(F.col(vector), q), 6)).where("distance is not null")
-    return rows.orderBy("distance", key).limit(max(1, min(50, k))).drop(vector)
+    rows = vectors.withColumn("distance", cosine_distance(F.col(vector), q)).where("distance is not null")
+    # Rounded only after the order is taken.
+    return rows.orderBy("distance", key).limit(max(1, min(50, k))).withColumn("distance", F.round("distance", 6)).drop(vector)
 
 
 def vector_of(vectors: DataFrame, key_value: int, key: str = "vec_id", vector: str = "embedding") -> list[float]:
