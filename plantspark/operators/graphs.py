@@ -111,15 +111,22 @@ def reachable(edges: DataFrame, start: Column, most_rounds: int = 1000) -> DataF
     raise RuntimeError("reachability didn't settle")
 
 
-def simple_paths(edges: DataFrame, source: Column, target: Column, cutoff: int = 10) -> DataFrame:
-    """(path): all simple paths of at most ``cutoff`` edges between two nodes, as arrays. Exponential in a dense graph."""
-    both = both_ways(edges)
-    paths = both.where(F.col("a") == source).select(F.array("a", "b").alias("path"))
-    done = paths.where(F.element_at("path", -1) == target)
+def simple_paths(edges: DataFrame, ends: DataFrame, cutoff: int = 10) -> DataFrame:
+    """(path): all simple paths of at most ``cutoff`` edges from source to target of each row of ``ends``, as arrays. Exponential in a dense graph.
+
+    Each length is a table of its own, so it is computed once.
+    """
+    both = kept(both_ways(edges))
+    last = F.element_at("path", -1)
+    paths = kept(both.join(ends, F.col("a") == F.col("source")).select(F.array("a", "b").alias("path"), "target"))
+    done = paths.where(last == F.col("target"))
     for _ in range(cutoff - 1):
-        paths = paths.where(F.element_at("path", -1) != target).join(both, F.element_at("path", -1) == F.col("a")).where(~F.array_contains("path", F.col("b"))).select(F.concat("path", F.array("b")).alias("path"))
-        done = done.unionByName(paths.where(F.element_at("path", -1) == target))
-    return done
+        going = paths.where(last != F.col("target")).join(both, last == F.col("a")).where(~F.array_contains("path", F.col("b")))
+        paths = kept(going.select(F.concat("path", F.array("b")).alias("path"), "target"))
+        if paths.isEmpty():
+            break
+        done = done.unionByName(paths.where(last == F.col("target")))
+    return done.select("path")
 
 
 def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:

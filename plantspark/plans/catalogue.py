@@ -32,11 +32,6 @@ def register(sql: str = "") -> Callable[[Query], Query]:
     return add
 
 
-def sql_of(name: str) -> str:
-    """The SQL of a query that is registered already, without the tables it needs; empty if it has none."""
-    return _SQL.get(name, "")
-
-
 def _load() -> None:
     from . import queries_boxes, queries_detector, queries_graphs, queries_metrics, queries_store, queries_texts  # noqa: F401
 

@@ -39,12 +39,12 @@ STATEMENTS: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT l_orderkey - l_orderkey % 40 AS pid_id, rn AS seg_id,
  (l_partkey % 9) * 200 + 70 + rn % 11 AS x1, (l_suppkey % 5) * 200 + 30 + rn % 9 AS y1,
  (l_partkey % 9) * 200 + CASE WHEN rn % 2 = 0 THEN 190 + rn % 11 ELSE 70 + rn % 19 END AS x2,
- (l_suppkey % 5) * 200 + CASE WHEN rn % 2 = 0 THEN 30 + rn % 14 ELSE 180 + rn % 9 END AS y2 FROM {base} WHERE l_linenumber <= 2""",
+ (l_suppkey % 5) * 200 + CASE WHEN rn % 2 = 0 THEN 30 + rn % 14 ELSE 180 + rn % 9 END AS y2 FROM {base}""",
     ),
     "edges": (
         ("lineitem",),
         """SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM
- (SELECT l_partkey AS a, (l_partkey * 7 + l_suppkey) % 2000 AS b FROM {lineitem} WHERE l_linenumber = 1 AND l_orderkey % 16 = 0) t WHERE a <> b""",
+ (SELECT l_partkey AS a, (l_partkey * 7 + l_suppkey) % 2000 AS b FROM {lineitem}) t WHERE a <> b""",
     ),
     "nodes": (
         ("edges",),
@@ -56,12 +56,9 @@ STATEMENTS: dict[str, tuple[tuple[str, ...], str]] = {
  (node_id * 13) % 1800 AS x, (node_id * 29) % 1000 AS y
  FROM (SELECT src AS node_id FROM {edges} UNION SELECT dst AS node_id FROM {edges}) t""",
     ),
-    # The graph of all line items; edges and nodes above are that of one order in sixteen.
-    "all_edges": (
-        ("lineitem",),
-        """SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM
- (SELECT l_partkey AS a, (l_partkey * 7 + l_suppkey) % 2000 AS b FROM {lineitem}) t WHERE a <> b""",
-    ),
+    # A small graph for each order, for queries that list paths: a line is linked to the next two.
+    "routes": (("base",), "SELECT a.rn AS src, b.rn AS dst FROM {base} a JOIN {base} b ON a.l_orderkey = b.l_orderkey AND b.rn - a.rn BETWEEN 1 AND 2"),
+    "route_ends": (("base",), "SELECT min(rn) AS source, max(rn) AS target FROM {base} GROUP BY l_orderkey HAVING count(*) > 1"),
     "docs": (
         ("customer",),
         """SELECT c_custkey AS pid_id, concat(c_name, '.pdf') AS file_name,
@@ -99,7 +96,6 @@ STATEMENTS: dict[str, tuple[tuple[str, ...], str]] = {
  FROM {boxes} WHERE node_id % 3 <> 0""",
     ),
 }
-STATEMENTS["all_nodes"] = (("all_edges",), STATEMENTS["nodes"][1].replace("{edges}", "{all_edges}"))
 TABLES = ("lineitem", "orders", "customer", "supplier", "part", "nation", "region", "events", "embeddings", "documents", "conversations", "pages")
 
 

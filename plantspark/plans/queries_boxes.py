@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from ..functions import geometry as g
 from ..functions import tags as t
 from ..functions.dims import SOURCE_PRIORITY, sql_case
 from ..operators import spatial as s
-from .catalogue import register, sql_of
+from .catalogue import register
 from .fixtures import Fixtures
 
 _INTER = "greatest(0, least({p}.x2, {q}.x2) - greatest({p}.x1, {q}.x1)) * greatest(0, least({p}.y2, {q}.y2) - greatest({p}.y1, {q}.y1))"
@@ -199,11 +197,11 @@ def line_equipment_pairs(fx: Fixtures) -> DataFrame:
 
 
 def _points(fx: Fixtures) -> DataFrame:
-    return fx.segments.where("seg_id % 3 = 1").select("pid_id", F.col("seg_id").alias("junc_id"), F.col("x2").alias("x"), F.col("y2").alias("y"))
+    return fx.segments.select("pid_id", F.col("seg_id").alias("junc_id"), F.col("x2").alias("x"), F.col("y2").alias("y"))
 
 
 @register("""
-WITH p AS (SELECT pid_id, seg_id AS junc_id, x2 AS x, y2 AS y FROM fx_segments WHERE seg_id % 3 = 1),
+WITH p AS (SELECT pid_id, seg_id AS junc_id, x2 AS x, y2 AS y FROM fx_segments),
 e AS (SELECT pid_id, seg_id, x1 AS ex, y1 AS ey FROM fx_segments UNION ALL SELECT pid_id, seg_id, x2, y2 FROM fx_segments)
 SELECT p.pid_id, p.junc_id, string_agg(DISTINCT CAST(e.seg_id AS VARCHAR), ',' ORDER BY CAST(e.seg_id AS VARCHAR)) AS segs, count(DISTINCT e.seg_id) AS n FROM p JOIN e ON p.pid_id = e.pid_id
 WHERE (x - ex) * (x - ex) + (y - ey) * (y - ey) <= 784 GROUP BY p.pid_id, p.junc_id""")
@@ -214,7 +212,7 @@ def junction_segments(fx: Fixtures) -> DataFrame:
 
 
 @register("""
-WITH RECURSIVE pts AS (SELECT pid_id, seg_id AS junc_id, x2 AS x, y2 AS y FROM fx_segments WHERE seg_id % 3 = 1),
+WITH RECURSIVE pts AS (SELECT pid_id, seg_id AS junc_id, x2 AS x, y2 AS y FROM fx_segments),
 o AS (SELECT *, row_number() OVER (PARTITION BY pid_id ORDER BY junc_id, x, y) AS k FROM pts),
 f AS (SELECT pid_id, 0::BIGINT AS k, []::STRUCT(junc_id BIGINT, x BIGINT, y BIGINT)[] AS acc FROM (SELECT DISTINCT pid_id FROM o)
   UNION ALL SELECT d.pid_id, d.k, CASE WHEN len(list_filter(f.acc, lambda p: (p.x - d.x) * (p.x - d.x) + (p.y - d.y) * (p.y - d.y) <= 400)) > 0 THEN f.acc
@@ -227,40 +225,12 @@ def junction_cluster(fx: Fixtures) -> DataFrame:
 
 
 @register("""
-WITH l AS (SELECT pid_id, seg_id AS a, seg_id + 1 AS b, x1 + 3 AS ax, y1 + 4 AS ay, x2 + 5 AS bx, y2 + 2 AS b_y FROM fx_segments WHERE seg_id % 7 = 0),
+WITH l AS (SELECT pid_id, seg_id AS a, seg_id + 1 AS b, x1 + 3 AS ax, y1 + 4 AS ay, x2 + 5 AS bx, y2 + 2 AS b_y FROM fx_segments),
 c AS (SELECT l.a, l.b, s.seg_id, round(least(sqrt((ax - x1) * (ax - x1) + (ay - y1) * (ay - y1)) + sqrt((bx - x2) * (bx - x2) + (b_y - y2) * (b_y - y2)),
   sqrt((ax - x2) * (ax - x2) + (ay - y2) * (ay - y2)) + sqrt((bx - x1) * (bx - x1) + (b_y - y1) * (b_y - y1))), 6) AS score FROM l JOIN fx_segments s ON l.pid_id = s.pid_id)
-SELECT a, b, seg_id, score FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY score, seg_id) AS n FROM c WHERE score < 200) WHERE n = 1""")
+SELECT l.a, l.b, m.seg_id, m.score FROM l LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY score, seg_id) AS n FROM c WHERE score < 200) m ON l.a = m.a AND l.b = m.b AND m.n = 1""")
 def edge_segment(fx: Fixtures) -> DataFrame:
-    links = fx.segments.where("seg_id % 7 = 0").selectExpr("pid_id", "seg_id AS a", "seg_id + 1 AS b", "x1 + 3 AS ax", "y1 + 4 AS ay", "x2 + 5 AS bx", "y2 + 2 AS by")
-    return s.nearest_segment(links, fx.segments).where("seg_id is not null")
-
-
-def _ends(fx: Fixtures) -> DataFrame:
-    return fx.segments.select("pid_id", F.col("seg_id").alias("junc_id"), F.col("x2").alias("x"), F.col("y2").alias("y"))
-
-
-def _unfiltered(name: str) -> str:
-    """The SQL of a query that takes a part of the segments, over all of them."""
-    return re.sub(r" WHERE seg_id % \d+ = \d+", "", sql_of(name))
-
-
-@register(_unfiltered("junction_segments"))
-def junction_segments_all(fx: Fixtures) -> DataFrame:
-    """The points of all segments."""
-    found = s.junction_segments(_ends(fx), fx.segments)
-    text = F.array_join(F.array_sort(F.transform("seg_ids", lambda x: x.cast("string"))), ",")
-    return found.select("pid_id", "junc_id", text.alias("segs"), F.size("seg_ids").cast("long").alias("n"))
-
-
-@register(_unfiltered("junction_cluster"))
-def junction_cluster_all(fx: Fixtures) -> DataFrame:
-    return s.merge_points(_ends(fx))
-
-
-@register(_unfiltered("edge_segment").replace("SELECT a, b, seg_id, score FROM (", "SELECT l.a, l.b, m.seg_id, m.score FROM l LEFT JOIN (").replace(" WHERE n = 1", " m ON l.a = m.a AND l.b = m.b AND m.n = 1"))
-def edge_segment_all(fx: Fixtures) -> DataFrame:
-    """The links of all segments; those without a segment near them have nulls."""
+    """Links without a segment near them have nulls."""
     links = fx.segments.selectExpr("pid_id", "seg_id AS a", "seg_id + 1 AS b", "x1 + 3 AS ax", "y1 + 4 AS ay", "x2 + 5 AS bx", "y2 + 2 AS by")
     return s.nearest_segment(links, fx.segments)
 

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from types import SimpleNamespace
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dims import SYMBOL_TYPES, sql_case
 from ..operators import exports, graphs, requests
-from .catalogue import Query, register, sql_of
+from .catalogue import register
 from .fixtures import Fixtures
 
 _BOTH = "b AS (SELECT src AS a, dst AS b FROM fx_edges UNION ALL SELECT dst, src FROM fx_edges)"
 _DEGREE = f"{_BOTH}, dg AS (SELECT n.node_id, count(b.a) AS degree FROM fx_nodes n LEFT JOIN b ON n.node_id = b.a GROUP BY n.node_id)"
-_COMPONENTS = f"{_BOTH}, w(node_id, r) AS (SELECT node_id, node_id FROM fx_nodes UNION SELECT b.b, w.r FROM w JOIN b ON b.a = w.node_id), cc AS (SELECT node_id, min(r) AS component FROM w GROUP BY node_id)"
+# Labels spread in rounds; a node's row is replaced whenever it learns a lesser one.
+_COMPONENTS = f"""{_BOTH}, cc(node_id, component) USING KEY (node_id) AS (SELECT node_id, node_id FROM fx_nodes
+ UNION SELECT b.a, min(w.component) FROM cc w JOIN b ON b.b = w.node_id JOIN recurring.cc u ON u.node_id = b.a AND w.component < u.component GROUP BY b.a)"""
 
 
 @register(f"WITH {_DEGREE} SELECT node_id, degree FROM dg")
@@ -68,26 +68,13 @@ def reachability(fx: Fixtures) -> DataFrame:
     return graphs.reachable(fx.edges, F.col("src") % 50 == 1)
 
 
-_ENDS = "(SELECT min(src) AS s FROM fx_edges)"
-
-
-@register(f"""WITH RECURSIVE {_BOTH}, q AS (SELECT min(a) AS s FROM b), far AS (SELECT max(b.b) AS t FROM b JOIN q ON b.a = q.s),
-p(path) AS (SELECT [b.a, b.b] FROM b JOIN q ON b.a = q.s UNION ALL SELECT list_append(p.path, b.b) FROM p JOIN b ON b.a = p.path[-1] JOIN far ON p.path[-1] <> far.t WHERE NOT list_contains(p.path, b.b) AND len(p.path) <= 6)
-SELECT array_to_string(path, '-') AS path FROM p JOIN far ON p.path[-1] = far.t""")
+@register("""WITH RECURSIVE b AS (SELECT src AS a, dst AS b FROM fx_routes UNION ALL SELECT dst, src FROM fx_routes),
+p(path, t) AS (SELECT [b.a, b.b], e.target FROM fx_route_ends e JOIN b ON b.a = e.source
+ UNION ALL SELECT list_append(p.path, b.b), p.t FROM p JOIN b ON b.a = p.path[-1] WHERE p.path[-1] <> p.t AND NOT list_contains(p.path, b.b) AND len(p.path) <= 10)
+SELECT array_to_string(path, '-') AS path FROM p WHERE path[-1] = t""")
 def paths_cutoff(fx: Fixtures) -> DataFrame:
-    """Simple paths of up to six edges from the least node to its greatest neighbour."""
-    both = graphs.both_ways(fx.edges)
-    ends = both.join(both.agg(F.min("a").alias("s")), F.col("a") == F.col("s")).agg(F.min("a").alias("s"), F.max("b").alias("t")).first()
-    found = graphs.simple_paths(fx.edges, F.lit(ends["s"]), F.lit(ends["t"]), cutoff=6)
-    return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path"))
-
-
-@register()
-def paths_cutoff_10(fx: Fixtures) -> DataFrame:
-    """Simple paths of up to ten edges, the reference's cutoff, from the least node to its greatest neighbour."""
-    both = graphs.both_ways(fx.edges)
-    ends = both.join(both.agg(F.min("a").alias("s")), F.col("a") == F.col("s")).agg(F.min("a").alias("s"), F.max("b").alias("t")).first()
-    found = graphs.simple_paths(fx.edges, F.lit(ends["s"]), F.lit(ends["t"]), cutoff=10)
+    """Simple paths of up to ten edges from the first to the last line of every order."""
+    found = graphs.simple_paths(fx.routes, fx.route_ends)
     return found.select(F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path"))
 
 
@@ -171,25 +158,3 @@ def classify_cc(fx: Fixtures) -> DataFrame:
     made = requests.component_class(size * 37, size + F.lit(20.0), size * 30.0 + key, 10 + key % 40, 10.0 + size)
     return fx.part.select("p_partkey", made["symbol_class"].alias("symbol_class"))
 
-
-#: Recursive SQL for components is too slow on a large component.
-_NO_SQL = ("components", "graph_summary")
-
-
-def _over_all(query: Query) -> None:
-    """Registers a graph query as <name>_all over the graph of all line items."""
-
-    def run(fx: Fixtures) -> DataFrame:
-        return query(SimpleNamespace(edges=fx.all_edges, nodes=fx.all_nodes))
-
-    name = query.__name__
-    run.__name__ = f"{name}_all"
-    register("" if name in _NO_SQL else sql_of(name).replace("fx_edges", "fx_all_edges").replace("fx_nodes", "fx_all_nodes"))(run)
-
-
-# All graph queries but paths_cutoff: simple paths of a dense graph are too many to list.
-for _query in (
-    degree, components, prune_degree1, prune_isolates, build_graph, graph_summary, ego_2hop, reachability, induced_subgraph, layout_grid, graph_to_api,
-    type_breakdown, sink_node_link, sink_graphml, nodes_by_class, nodes_by_tag, highlight, graph_chunks, roi_rectangles,
-):
-    _over_all(_query)

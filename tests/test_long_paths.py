@@ -16,8 +16,8 @@ def test_paths_of_up_to_ten_edges(spark):
     for n in (10, 11, 12):
         edges = [(k, k + 1) for k in range(n - 1)] + [(0, n - 1), (2, 5)]
         catalogue._load()
-        fx = SimpleNamespace(edges=spark.createDataFrame(edges, "src long, dst long"))
-        found = {r["path"] for r in catalogue._QUERIES["paths_cutoff_10"](fx).collect()}
+        fx = SimpleNamespace(routes=spark.createDataFrame(edges, "src long, dst long"), route_ends=spark.createDataFrame([(0, n - 1)], "source long, target long"))
+        found = {r["path"] for r in catalogue._QUERIES["paths_cutoff"](fx).collect()}
         assert found == brute(edges, [0], n - 1, 10)
         assert any(x.count("-") > 6 for x in found)
         assert any(x.count("-") == n - 1 for x in found) == (n <= 11)

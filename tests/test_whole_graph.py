@@ -32,17 +32,17 @@ def test_all_edges_make_the_graph(spark, folder):
     run = lambda name: catalogue.queries()[name](spark, folder).collect()
     edges, root = links(), groups(links())
     assert len(edges) > 5 and max(list(root.values()).count(x) for x in root.values()) >= 4
-    assert {r["node_id"]: r["component"] for r in run("components_all")} == root
-    assert {r["node_id"]: r["degree"] for r in run("degree_all")} == {x: sum(x in e for e in edges) for x in root}
-    s = run("graph_summary_all")[0]
+    assert {r["node_id"]: r["component"] for r in run("components")} == root
+    assert {r["node_id"]: r["degree"] for r in run("degree")} == {x: sum(x in e for e in edges) for x in root}
+    s = run("graph_summary")[0]
     assert (s["nodes"], s["edges"], s["components"]) == (len(root), len(edges), len(set(root.values())))
     found, new = set(), {b for a, b in edges if a % 50 == 1}
     while new:
         found, new = found | new, {b for a, b in edges if a in new} - found - new
-    assert {r["node_id"] for r in run("reachability_all")} == found
+    assert {r["node_id"] for r in run("reachability")} == found
 
 
 def test_components_of_the_test_tables(spark):
-    found = {r["node_id"]: r["component"] for r in catalogue.queries()["components_all"](spark, "/root/testdata/sf0.001").collect()}
-    edges = [tuple(r) for r in catalogue.queries()["highlight_all"](spark, "/root/testdata/sf0.001").select("src", "dst").collect()]
+    found = {r["node_id"]: r["component"] for r in catalogue.queries()["components"](spark, "/root/testdata/sf0.001").collect()}
+    edges = [tuple(r) for r in catalogue.queries()["highlight"](spark, "/root/testdata/sf0.001").select("src", "dst").collect()]
     assert len(edges) > 1000 and found == groups(edges)

@@ -26,7 +26,7 @@ def test_edge_segment_of_all(spark):
                 u, v = (u1, v1), (u2, v2)
                 scores.append((round(min(math.dist(p, u) + math.dist(q, v), math.dist(p, v) + math.dist(q, u)), 6), seg))
         exact[a] = min(x for x in scores if x[0] < 200)
-    found = {r["a"]: (r["score"], r["seg_id"]) for r in run(spark, "edge_segment_all")}
+    found = {r["a"]: (r["score"], r["seg_id"]) for r in run(spark, "edge_segment")}
     assert found == exact and len(found) == len(ROWS)
 
 
@@ -41,11 +41,11 @@ def test_junctions_of_all(spark):
     for pid, junc, _, _, x, y in ROWS:
         near = [s for p, s, *e in ROWS if p == pid and min(math.dist((x, y), e[:2]), math.dist((x, y), e[2:])) <= 28]
         exact[junc] = ",".join(sorted(map(str, near)))
-    assert {r["junc_id"]: r["segs"] for r in run(spark, "junction_segments_all")} == exact
+    assert {r["junc_id"]: r["segs"] for r in run(spark, "junction_segments")} == exact
 
     heads = {}
     for pid, junc, _, _, x, y in sorted(ROWS):
         own = next((h for h in heads if h[0] == pid and math.dist(h[2:], (x, y)) <= 20), (pid, junc, x, y))
         heads.setdefault(own, []).append((x, y))
-    found = {(r["pid_id"], r["junc_id"]): (r["x"], r["y"], r["n"]) for r in run(spark, "junction_cluster_all")}
+    found = {(r["pid_id"], r["junc_id"]): (r["x"], r["y"], r["n"]) for r in run(spark, "junction_cluster")}
     assert found == {h[:2]: (sum(x for x, _ in v) // len(v), sum(y for _, y in v) // len(v), len(v)) for h, v in heads.items()}
