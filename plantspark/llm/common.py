@@ -6,6 +6,7 @@ an empty one unless an operator says otherwise.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -68,13 +69,19 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Removes tables that ``written`` made, once nothing that is still to be computed reads them."""
+    """Removes tables that ``written`` made, once nothing that is still to be computed reads them.
+
+    Then the driver forgets plans that nothing refers to, so Spark's cleaner takes their shuffles and broadcasts too.
+    """
     for df in tables:
         files = df.inputFiles()
         if files:
             jvm = df.sparkSession._jvm
             folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
             folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+    gc.collect()
+    for df in tables[:1]:
+        df.sparkSession._jvm.System.gc()
 
 
 def fresh(name: str, taken: list[str]) -> str:
