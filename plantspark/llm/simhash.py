@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, written
+from .common import discard, map_arrow, written
 
 SHINGLE = 3
 SEED = 42
@@ -40,6 +40,8 @@ DISTANCE = 3
 HALF = 31
 #: Rows of an anchor that are compared at once.
 BLOCK = 4096
+#: Most edges that a task holds to turn them into stars, but for the rows of one batch.
+PIECE = 1 << 20
 
 _FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -185,24 +187,56 @@ def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     return map_arrow(ordered, compared, "a long, b long").distinct()
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) that join the same nodes: of each ``PIECE`` edges of a task, one from every node to the least that it reaches by them."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(2)], axis=1))
+        size += len(held[-1])
+        if size >= PIECE:
+            yield _star(np.concatenate(held))
+            held, size = [], 0
+    if size:
+        yield _star(np.concatenate(held))
+
+
+def _star(edges: np.ndarray) -> pa.RecordBatch:
+    nodes, places = np.unique(edges, return_inverse=True)
+    a, b = places.reshape(edges.shape).T
+    low = np.arange(len(nodes))
+    while (low[a] != low[b]).any():
+        # The greater root of an edge hooks onto the lesser one, then all nodes go up to their roots.
+        one, two = low[a], low[b]
+        np.minimum.at(low, np.maximum(one, two), np.minimum(one, two))
+        while (low[low] != low).any():
+            low = low[low]
+    own = low != np.arange(len(nodes))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[low[own]]), pa.array(nodes[own])], names=["a", "b"])
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root): the least node reachable, for every node of an edge.
+    """(node, root): the least node reachable, for every node of an edge (a, b).
 
-    Each round gives every node the least root among its neighbours' roots, then jumps to that
-    root's root. Rounds end when no root changes; each is a table in the shared folder.
+    Each task first turns its own edges into stars. Then each round gives every node the least root among its
+    neighbours' roots and jumps to that root's root. Rounds end when no root changes; each is a table in the
+    shared folder. No side of a join is broadcast, as all of them grow with the edges.
     """
     kept = lambda df: written(df, "components")
-    both = kept(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    own = edges.where("a <> b").select("a", "b").distinct()
+    stars = map_arrow(own, _stars, "a long, b long")
+    both = kept(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     state = kept(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node").withColumn("moved", F.lit(True)))
     for _ in range(most_rounds):
         roots = state.select("node", "root")
-        near = both.join(roots, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
+        near = both.join(roots.hint("merge"), F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
         # A root learns the least root that its members see, so trees hook onto each other.
-        seen = roots.join(near, F.col("node") == F.col("a")).select("node", "root", F.least("root", "near").alias("new"))
+        seen = roots.join(near.hint("merge"), F.col("node") == F.col("a")).select("node", "root", F.least("root", "near").alias("new"))
         hooks = seen.groupBy(F.col("root").alias("hook")).agg(F.min("new").alias("low"))
-        lifted = seen.join(hooks, F.col("new") == F.col("hook"), "left").select("node", "root", F.least("new", "low").alias("to"))
-        state = kept(lifted.select("node", F.col("to").alias("root"), (F.col("to") != F.col("root")).alias("moved")))
+        lifted = seen.join(hooks.hint("merge"), F.col("new") == F.col("hook"), "left").select("node", "root", F.least("new", "low").alias("to"))
+        before, state = state, kept(lifted.select("node", F.col("to").alias("root"), (F.col("to") != F.col("root")).alias("moved")))
+        discard(before)
         if not state.where("moved").limit(1).count():
+            discard(both)
             return state.select("node", "root")
     raise RuntimeError("components didn't settle")
 
