@@ -96,6 +96,9 @@ def mix(
     targets = targets.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     targets = targets.withColumn("inclusion", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(F.lit(0.0)))
 
+    # A row per source, as a table: it is read at several places of the plan.
+    targets = written(targets, "mix-targets")
+
     same = lambda other: F.col("source").eqNullSafe(other["s"])
     t = targets.withColumnRenamed("source", "s")
     u = (F.col("u") + F.lit(0.5)) / F.lit(float(_RANGE))
@@ -112,6 +115,7 @@ def mix(
         .agg(F.min(F.struct("cell", (F.col("until") - F.col("cell_size")).alias("below"))).alias("edge"))
         .select(F.col("source").alias("s"), F.col("edge.cell").alias("edge"), F.col("edge.below").alias("below"))
     )
+    reached = written(reached, "mix-edges")
     placed = ranked.join(reached, same(reached), "left").drop("s")
     within = F.coalesce(F.col("cell") == F.col("edge"), F.lit(False))
     inner = placed.where(~within)
