@@ -98,11 +98,30 @@ _ROWS_KEY, _ROWS_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000
 
 
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` with batches small enough that texts don't fill workers and executors twice over."""
+    """``mapInArrow`` with batches small enough that texts don't fill workers and executors twice over.
+
+    A worker serves many tasks: at the end of each it gives the system back what it doesn't use.
+    """
     conf = df.sparkSession.conf
     if conf.get(_ROWS_KEY, _ROWS_DEFAULT) == _ROWS_DEFAULT:
         conf.set(_ROWS_KEY, str(BATCH_ROWS))
-    return df.mapInArrow(function, schema)
+
+    def released(batches):
+        yield from function(batches)
+        give_back()
+
+    return df.mapInArrow(released, schema)
+
+
+def give_back() -> None:
+    """Unused memory of this process goes back to the system, where its C library has a call for that."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def let(value: Column, body) -> Column:
