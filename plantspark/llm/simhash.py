@@ -141,7 +141,7 @@ def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = anchored(prints)
     # Anchors with one row, or without a row at home, have nothing to compare.
     counts = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.count_if("home").alias("n_home")).where("n > 1 and n_home > 0")
-    busy = rows.join(counts.select("anchor", "n"), "anchor")
+    busy = rows.join(counts.select("anchor", "n").hint("merge"), "anchor")
     chunks = F.ceil(F.col("n") / block).cast("int")
     chunk = F.pmod(F.xxhash64("fingerprint"), chunks).cast("int")
     # A row at home meets all chunks, any row meets the homes of all chunks: tasks (i, j).
@@ -246,10 +246,11 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
     prints = written(fingerprints(documents, key, text), "simhash")
     distinct = written(prints.groupBy("fingerprint").agg(F.min("key").alias("least")), "simhash-distinct")
     found = components(links(distinct.select("fingerprint"), block))
-    rooted = distinct.join(found, F.col("fingerprint") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    # All sides grow with the documents, so none is broadcast.
+    rooted = distinct.join(found.hint("merge"), F.col("fingerprint") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fingerprint"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(least, "root").select(F.col("fingerprint").alias("f"), "component_id")
-    return prints.join(classes, F.col("fingerprint") == F.col("f")).select(
+    classes = rooted.join(least.hint("merge"), "root").select(F.col("fingerprint").alias("f"), "component_id")
+    return prints.join(classes.hint("merge"), F.col("fingerprint") == F.col("f")).select(
         F.col("key").alias(key),
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
         "component_id",
