@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantspark.llm import byte_bpe, language_id, mixing, near, quality_model
+from plantspark.llm import byte_bpe, language_id, mixing, near, quality_model, simhash
 from plantspark.llm.common import discard, fresh, table, written
 from plantspark.llm.queries import fit_language, fit_quality
 
@@ -25,15 +25,31 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality_model.accept(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def drop_linked_fingerprints(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of linked fingerprints, as ``op9`` finds them, the row of least doc_id stays, once."""
+    one, two = fresh("one", docs.columns), fresh("two", docs.columns)
+    h1, h2 = near.row_hashes(docs)
+    rows = docs.withColumns({one: h1, two: h2})
+    return _only(rows, simhash.first_rows(rows, (one, two)), docs.columns)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts with a Jaccard similarity of 0.8 or more of their five-word shingles the row of least doc_id stays, once."""
+    """Of each group of texts with a Jaccard similarity of 0.8 or more of their five-word shingles the row of least doc_id stays, once.
+
+    No stage of the pipeline, whose near duplicates are those of ``op9``.
+    """
     one, two = fresh("one", docs.columns), fresh("two", docs.columns)
-    three, four = fresh("three", docs.columns), fresh("four", docs.columns)
-    first = near.first_rows(docs).toDF(three, four)
     h1, h2 = near.row_hashes(docs)
+    return _only(docs.withColumns({one: h1, two: h2}), near.first_rows(docs).toDF(one, two), docs.columns)
+
+
+def _only(rows: DataFrame, first: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows whose two hashes, which are columns of the same names in both tables, are in ``first``, once each."""
+    one, two = first.columns
+    three, four = fresh("three", rows.columns), fresh("four", rows.columns)
     # The rows that stay grow with the corpus, so they are never broadcast.
-    rows = docs.withColumns({one: h1, two: h2})
-    return rows.join(first.hint("merge"), (F.col(one) == F.col(three)) & (F.col(two) == F.col(four)), "left_semi").dropDuplicates([one, two]).select(*docs.columns)
+    stays = first.toDF(three, four).hint("merge")
+    return rows.join(stays, (F.col(one) == F.col(three)) & (F.col(two) == F.col(four)), "left_semi").dropDuplicates([one, two]).select(*columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +71,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language ID", identify_language),
     ("quality classifier", classify_quality),
-    ("near-dedup", drop_near_duplicates),
+    ("SimHash near-dedup", drop_linked_fingerprints),
     ("mixing to target weights", mix_sources),
     ("byte-level BPE", encode),
 ]

@@ -67,17 +67,18 @@ def simhash(text: str | None) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fingerprint) with the fingerprint's bits as a signed long."""
-    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = rows.schema["key"].dataType.simpleString()
+def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, fingerprint) with the fingerprint's bits as a signed long, then the columns of ``carry`` as carry0, carry1 and so on."""
+    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"), *(F.col(c).alias(f"carry{k}") for k, c in enumerate(carry)))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema if f.name != "text"}
+    ddl = ", ".join(f"{name} {kind}" for name, kind in ({"key": kinds.pop("key"), "fingerprint": "long"} | kinds).items())
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.fromiter((simhash(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["key", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]], names=["key", "fingerprint", *kinds])
 
-    return map_arrow(rows, hashed, f"key {kind}, fingerprint long")
+    return map_arrow(rows, hashed, ddl)
 
 
 def _syndrome(half: Column) -> Column:
@@ -241,13 +242,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components didn't settle")
 
 
+def _rooted(prints: DataFrame, least: Column, block: int) -> DataFrame:
+    """(fingerprint, least, root): each distinct fingerprint with the least of its rows and its component's root."""
+    distinct = written(prints.groupBy("fingerprint").agg(F.min(least).alias("least")), "simhash-distinct")
+    found = components(links(distinct.select("fingerprint"), block))
+    # Both sides grow with the documents, so none is broadcast.
+    return distinct.join(found.hint("merge"), F.col("fingerprint") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fingerprint"))
+
+
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """Per row: key, fingerprint (16 hexadecimal digits), component_id (least key reachable)."""
     prints = written(fingerprints(documents, key, text), "simhash")
-    distinct = written(prints.groupBy("fingerprint").agg(F.min("key").alias("least")), "simhash-distinct")
-    found = components(links(distinct.select("fingerprint"), block))
-    # All sides grow with the documents, so none is broadcast.
-    rooted = distinct.join(found.hint("merge"), F.col("fingerprint") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    rooted = _rooted(prints, F.col("key"), block)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(least.hint("merge"), "root").select(F.col("fingerprint").alias("f"), "component_id")
     return prints.join(classes.hint("merge"), F.col("fingerprint") == F.col("f")).select(
@@ -255,3 +261,11 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+def first_rows(documents: DataFrame, carry: tuple[str, ...], key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """The columns of ``carry``, which tell rows apart, of the row of least key of each component; rows without a key are last, ties go by ``carry``."""
+    prints = written(fingerprints(documents, key, text, carry), "simhash")
+    order = F.struct(F.col("key").isNull().alias("none"), "key", *(f"carry{k}" for k in range(len(carry))))
+    least = _rooted(prints, order, block).groupBy("root").agg(F.min("least").alias("least"))
+    return least.select(*(F.col(f"least.carry{k}").alias(c) for k, c in enumerate(carry)))
