@@ -11,8 +11,10 @@ names. Empty inputs give empty results.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -198,19 +200,122 @@ def merge_points(points: DataFrame, radius: int = 20) -> DataFrame:
     return rows.groupBy("pid_id", F.col("head.junc_id").alias("junc_id")).agg(mean("x").alias("x"), mean("y").alias("y"), F.count("*").alias("n"))
 
 
+#: Pairs of links and segments that are compared at once, and how much worse than the best a score may seem and still be compared exactly.
+PAIRS, SLACK = 1 << 18, 1e-5
+
+
 def nearest_segment(links: DataFrame, segments: DataFrame, below: int = 200) -> DataFrame:
     """For each link (pid_id, a, b, ax, ay, bx, by) the segment whose ends are nearest to the link's, in either direction.
 
     The score is the sum of both distances and must be below the bound, else segment and score are null; ties go to
-    the first segment.
+    the first segment. Middles of a link and a segment with such a score are less than half the bound apart, so
+    only segments of the cells around a link's middle are compared. A drawing's rows meet in one task; no pair is
+    shuffled. Repeated links give a row each.
     """
-    s = segments.select("pid_id", "seg_id", *_BOX[1:])
-    d = lambda p, q: g.distance(F.col(f"{p}x"), F.col(f"{p}y"), F.col(f"x{q}"), F.col(f"y{q}"))
-    score = F.round(F.least(d("a", 1) + d("b", 2), d("a", 2) + d("b", 1)), 6)
-    best = links.join(s, "pid_id", "left").withColumn("score", score).groupBy("a", "b").agg(F.min(F.when(F.col("score") < below, F.struct("score", "seg_id"))).alias("m"))
+    ends = dict(zip(_BOX[1:], ("ax", "ay", "bx", "by")))
+    l = links.select("pid_id", F.lit(True).alias("link"), "a", "b", *(F.col(v).alias(k) for k, v in ends.items()))  # noqa: E741
+    s = segments.select("pid_id", F.lit(False).alias("link"), "seg_id", *ends)
+    rows = l.unionByName(s, allowMissingColumns=True).repartition("pid_id").sortWithinPartitions("pid_id", "seg_id")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    near = ", ".join(f"{c}:{kinds[c]}" for c in ("seg_id", *ends))
+    ddl = ", ".join(f"{c} {kinds[c]}" for c in ("a", "b", *ends)) + f", near array<struct<{near}>>"
+    found = rows.select("pid_id", "link", "a", "b", "seg_id", *ends).mapInArrow(lambda batches: _near_links(batches, below), ddl)
+
+    def score(m: Column) -> Column:
+        d = lambda p, q: g.distance(F.col(f"x{p}"), F.col(f"y{p}"), m[f"x{q}"], m[f"y{q}"])
+        return F.round(F.least(d(1, 1) + d(2, 2), d(1, 2) + d(2, 1)), 6)
+
+    scored = F.transform("near", lambda m: F.struct(score(m).alias("score"), m["seg_id"].alias("seg_id")))
+    best = found.select("a", "b", F.array_min(F.filter(scored, lambda m: m["score"] < below)).alias("m"))
     return best.select("a", "b", F.col("m.seg_id").alias("seg_id"), F.col("m.score").alias("score"))
 
 
+def _near_links(batches: Iterator[pa.RecordBatch], below: float) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of pid_id and seg_id the links, with the segments that may be nearest; holds the rows of a drawing until all are there."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        pids = batch.column(0)
+        cut = _last_start(pids)
+        if cut or (held and held[-1].column(0)[-1].as_py() != pids[0].as_py()):
+            yield from _near_segments(pa.Table.from_batches([*held, batch.slice(0, cut)]), below)
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield from _near_segments(pa.Table.from_batches(held), below)
+
+
+def _last_start(pids: pa.Array) -> int:
+    """Where the last run of equal values starts."""
+    codes = pids.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    other = np.flatnonzero(codes != codes[-1])
+    return int(other[-1]) + 1 if len(other) else 0
+
+
+def _dense(cells: np.ndarray) -> np.ndarray:
+    """Small numbers from 1 in the order of whole numbers; neighbours, and only they, stay neighbours."""
+    values, places = np.unique(cells, return_inverse=True)
+    return np.concatenate([[1], 1 + np.cumsum(np.minimum(np.diff(values), 2))]).astype(np.int64)[places.reshape(-1)]
+
+
+def _near_segments(rows: pa.Table, below: float) -> Iterator[pa.RecordBatch]:
+    """The links of whole drawings, each with its candidates: the segments whose score seems best, one of those with equal scores."""
+    rows = rows.combine_chunks()
+    link = rows["link"].to_numpy().astype(bool)
+    pid = rows["pid_id"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    x1, y1, x2, y2 = (rows[c].cast(pa.float64()).to_numpy() for c in _BOX[1:])
+    mx, my = (x1 + x2) / 2, (y1 + y2) / 2
+    usable = np.isfinite(mx) & np.isfinite(my) & (pid >= 0)
+    links = np.flatnonzero(link)
+    ranges, key = np.zeros((len(links), 3, 2), np.int64), np.zeros(len(link), np.int64)
+    segs = np.flatnonzero(~link & usable)
+    if len(segs) and usable[links].any():
+        size = below / 2 * 1.001
+        cx, cy = _dense(np.floor(mx[usable] / size)), _dense(np.floor(my[usable] / size))
+        high = int(cy.max()) + 2
+        key[usable] = (pid[usable].astype(np.int64) * (int(cx.max()) + 2) + cx) * high + cy
+        segs = segs[np.argsort(key[segs], kind="stable")]
+        for k in range(3):
+            around = key[links] + (k - 1) * high
+            ranges[:, k, 0] = np.searchsorted(key[segs], around - 1, "left")
+            ranges[:, k, 1] = np.searchsorted(key[segs], around + 1, "right")
+        ranges[~usable[links]] = 0
+    counts = (ranges[:, :, 1] - ranges[:, :, 0]).sum(axis=1)
+    until = np.cumsum(counts)
+    at = 0
+    while at < len(links):
+        end = max(at + 1, int(np.searchsorted(until, (until[at - 1] if at else 0) + PAIRS, "right")))
+        each = ranges[at:end].reshape(-1, 2)
+        n = each[:, 1] - each[:, 0]
+        one = np.repeat(np.arange(end - at), counts[at:end])
+        two = segs[np.repeat(each[:, 0] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        own = links[at:end][one]
+        d = lambda p, q: np.sqrt((p[0][own] - q[0][two]) ** 2 + (p[1][own] - q[1][two]) ** 2)
+        a, b = (x1, y1), (x2, y2)
+        score = np.minimum(d(a, a) + d(b, b), d(a, b) + d(b, a))
+        best = np.full(end - at, np.inf)
+        some = np.flatnonzero(counts[at:end])
+        if len(some):
+            best[some] = np.fmin.reduceat(score, (np.cumsum(counts[at:end]) - counts[at:end])[some])
+        keep = np.flatnonzero((score <= best[one] + SLACK) & (score < below + SLACK))
+        # Rows come in the order of seg_id, so of equal scores the first row stays.
+        keep = keep[np.lexsort((two[keep], score[keep], one[keep]))]
+        first = np.ones(len(keep), bool)
+        first[1:] = (one[keep][1:] != one[keep][:-1]) | (score[keep][1:] != score[keep][:-1])
+        keep = keep[first]
+        chosen = rows.select(["seg_id", *_BOX[1:]]).take(pa.array(two[keep])).combine_chunks()
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(one[keep], minlength=end - at))]).astype(np.int32)
+        near = pa.StructArray.from_arrays([_flat(chosen[c]) for c in chosen.column_names], names=chosen.column_names)
+        out = rows.select(["a", "b", *_BOX[1:]]).take(pa.array(links[at:end]))
+        yield pa.RecordBatch.from_arrays([*(_flat(out[c]) for c in out.column_names), pa.ListArray.from_arrays(pa.array(offsets), near)], names=[*out.column_names, "near"])
+        at = end
+
+
+def _flat(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
 def segment_suppress(segments: DataFrame, overlap: float = 0.6) -> DataFrame:
     """Longest first: a segment goes if its projection covers at least ``overlap`` of a longer one that stays."""
     length2 = g.squared(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
