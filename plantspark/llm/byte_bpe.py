@@ -6,9 +6,9 @@ until no adjacent pair has a rank. Ranks are a literal map of the plan, laid out
 arrays by row displacement, so that a lookup takes constant time (a Spark map is
 searched from its start). Decoding concatenates the bytes of each id.
 
-Each row passes three steps in one task, without a shuffle: an Arrow step splits its text and
-replaces its pieces by numbers; higher-order functions fold the pieces that the task hasn't met
-before; an Arrow step, which gets the same rows in the same order, numbers their ids alike and
+Each row passes three steps in one task, without a shuffle: an Arrow step splits its text,
+replaces its pieces by numbers and gives the bytes of those that the task hasn't met before with
+the ranks of their pairs; higher-order functions fold these; an Arrow step, which gets the same rows in the same order, numbers their ids alike and
 puts them in order. A bounded dictionary, filled first, holds the pieces that are frequent in a
 bounded sample of texts, folded by the same functions. It decides only which pieces are folded
 beforehand: each piece has the same ids either way. A task remembers ``REMEMBERED`` pieces, then
@@ -113,71 +113,75 @@ def _displaced(rows: dict[int, list[tuple[int, int]]], size: int, cells: int):
     return offset, table
 
 
-def rank_map(spark: SparkSession, vocab: Vocabulary) -> tuple[dict[str, Column], Column]:
-    """The rank map as constants of a plan (numbers of byte pairs, table, offsets), and the id at either end.
+def rank_map(spark: SparkSession, vocab: Vocabulary) -> dict[str, Column]:
+    """The rank map as constants of a plan (table, offsets).
 
     They are subqueries over one row of the driver, so Spark puts their values into the tasks as
     literals, but not into the texts of plans, of which the driver keeps many.
     """
-    columns = {"pairs": vocab.pairs, "table": vocab.table, "offset": vocab.offset}
+    columns = {"table": vocab.table, "offset": vocab.offset}
     row = pa.table({k: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, pa.int64())) for k, v in columns.items()})
     frame = spark.createDataFrame(row)
-    return {k: frame.select(k).scalar() for k in columns}, F.lit(len(vocab.tokens))
+    return {k: frame.select(k).scalar() for k in columns}
 
 
-def fold_all(rows: DataFrame, pieces: str, ranks: tuple[dict[str, Column], Column]) -> DataFrame:
-    """The rows with the ids of each piece of an array ``pieces``, a piece being an array of its bytes, as ``folds``.
+def fold_all(rows: DataFrame, pieces: str, ranks: dict[str, Column]) -> DataFrame:
+    """The rows with the ids of each piece of an array ``pieces`` of states (see ``_states_of``), as ``folds``.
 
     A piece's state is one array with a number per token: the rank of its pair with the next token,
-    where the token begins and its id, from high bits to low. So the least number is the leftmost
-    of the pairs of lowest rank. Two tokens at the ends are in no pair.
+    its place in the array and its id, from high bits to low. So the least number is the leftmost
+    of the pairs of lowest rank, and says where it stands (Spark's ``array_position`` leaves its loop
+    by an exception, ``let`` copies arrays, ``concat`` makes lazy lists: all dear at each merge).
     """
-    edge = F.lit(_UNRANKED << _RANK_AT).cast("bigint") + ranks[1]
+    place, unranked = (1 << _RANK_AT) - 1, F.lit(_UNRANKED).cast("bigint")
 
-    def fold(piece: Column, pairs: Column, table: Column, offset: Column) -> Column:
+    def fold(piece: Column, table: Column, offset: Column) -> Column:
         own = lambda state: state.bitwiseAND(_LOW - 1)
         # A cell of another left token differs from it in high bits, an empty one is large: both end as _UNRANKED.
-        rank = lambda a, b: F.shiftleft(F.least(F.get(table, F.get(offset, a) + b).bitwiseXOR(F.shiftleft(a, 16)), F.lit(_UNRANKED).cast("bigint")), _RANK_AT)
-        begin = F.concat(
-            F.array(edge),
-            F.transform(piece, lambda x, i: F.get(pairs, x * 257 + F.coalesce(F.get(piece, i + 1), F.lit(256))) + F.shiftleft(i.cast("bigint"), 16)),
-            F.array(edge),
-        )
+        rank = lambda a, b: F.shiftleft(F.least(F.get(table, F.get(offset, a) + b).bitwiseXOR(F.shiftleft(a, 16)), unranked), _RANK_AT)
 
         def merged(states: Column, least: Column) -> Column:
             made = F.shiftright(least, _RANK_AT)
 
-            def at_place(at: Column) -> Column:
-                before = F.get(states, at - 2)
+            def at_place(states: Column, at: Column) -> Column:
+                before = F.get(states, at - 1)
                 two = F.array(
-                    rank(own(before), made) + before.bitwiseAND((1 << _RANK_AT) - 1),
-                    rank(made, own(F.get(states, at + 1))) + least.bitwiseAND((1 << _RANK_AT) - _LOW) + made,
+                    rank(own(before), made).bitwiseOR(before.bitwiseAND(place)),
+                    rank(made, own(F.get(states, at + 2))).bitwiseOR(least.bitwiseAND(place - _LOW + 1)).bitwiseOR(made),
                 )
-                return F.concat(F.slice(states, F.lit(1), at - 2), two, F.slice(states, at + 2, F.lit(_NONE_LEFT)))
+                after = F.transform(F.slice(states, at + 3, F.lit(_NONE_LEFT)), lambda x: x - _LOW)
+                return F.flatten(F.array(F.slice(states, F.lit(1), at - 1), two, after))
 
-            return let(F.array_position(states, least).cast("int"), at_place)
+            return F.aggregate(F.array(F.shiftright(least.bitwiseAND(place), 16).cast("int")), states, at_place)
 
-        step = lambda states, _: let(
-            F.array_min(states), lambda least: F.when(least < _UNRANKED << _RANK_AT, merged(states, least)).otherwise(states)
+        # An aggregate over one element binds it to a name.
+        step = lambda states, _: F.aggregate(
+            F.array(F.array_min(states)), states, lambda now, least: F.when(least < _UNRANKED << _RANK_AT, merged(now, least)).otherwise(now)
         )
         ids = lambda states: F.transform(F.slice(states, F.lit(2), F.size(states) - 2), lambda x: own(x).cast("int"))
-        return F.aggregate(F.slice(piece, F.lit(2), F.size(piece)), begin, step, ids)
+        return F.aggregate(F.slice(piece, F.lit(2), F.greatest(F.size(piece) - 3, F.lit(0))), piece, step, ids)
 
     # Bound once per row; the optimizer puts the subqueries where their columns are used.
-    folds = let(F.col("pairs"), lambda p: let(F.col("table"), lambda t: let(F.col("offset"), lambda o: F.transform(pieces, lambda x: fold(x, p, t, o)))))
-    return rows.withColumns(ranks[0]).select(*rows.columns, F.when(F.size(pieces) > 0, folds).alias("folds"))
+    folds = let(F.col("table"), lambda t: let(F.col("offset"), lambda o: F.transform(pieces, lambda x: fold(x, t, o))))
+    return rows.withColumns(ranks).select(*rows.columns, F.when(F.size(pieces) > 0, folds).alias("folds"))
 
 
-def _bytes_of(texts: pa.Array) -> pa.ListArray:
-    """Each text as a list of its bytes."""
+def _states_of(texts: pa.Array, pairs: np.ndarray, edge: int) -> pa.ListArray:
+    """The state of each piece before its first merge (see ``fold_all``): its bytes between two tokens ``edge`` that are in no pair."""
     texts = pa.concat_arrays([texts]) if texts.offset == 0 else pa.array(texts.to_pylist(), pa.string())
     _, ends, data = texts.buffers()
-    ends = np.frombuffer(ends, "<i4")[: len(texts) + 1] if len(texts) else np.zeros(1, "<i4")
-    flat = np.frombuffer(data, np.uint8)[: ends[-1]] if ends[-1] else np.zeros(0, np.uint8)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype("<i4")))
-
-
-def _dictionary(texts: DataFrame, text: str, pattern: str, ranks: tuple[dict[str, Column], Column]) -> tuple[list[str], list[bytes]]:
+    ends = np.frombuffer(ends, "<i4")[: len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    flat = np.frombuffer(data, np.uint8)[: ends[-1]].astype(np.int64) if ends[-1] else np.zeros(0, np.int64)
+    sizes, after = np.diff(ends), np.append(flat[1:], 256)
+    after[ends[1:][sizes > 0] - 1] = 256
+    piece, at = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat))
+    out = np.full(len(flat) + 2 * len(sizes), (_UNRANKED << _RANK_AT) + edge, np.int64)
+    out[at + 2 * piece + 1] = pairs[flat * 257 + after[: len(flat)]] + (at - ends[piece] + 1 << 16)
+    out[ends[1:] + 2 * np.arange(len(sizes)) + 1] += sizes + 1 << 16
+    return pa.ListArray.from_arrays(pa.array(ends + 2 * np.arange(len(ends)), pa.int32()), pa.array(out))
+
+
+def _dictionary(texts: DataFrame, text: str, pattern: str, ranks: dict[str, Column], begun: Callable) -> tuple[list[str], list[bytes]]:
     """Frequent pieces of about SAMPLE_TEXTS texts, chosen by hash, and the ids of each; DICTIONARY_PIECES at most."""
     share = min(1.0, SAMPLE_TEXTS / max(1, texts.count()))
     some = texts.select(text).where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < F.lit(share * (1 << 20)))
@@ -186,15 +190,14 @@ def _dictionary(texts: DataFrame, text: str, pattern: str, ranks: tuple[dict[str
     top = counts.where("length(piece) <= 64").orderBy(F.desc("count"), "piece").limit(DICTIONARY_PIECES)
     lists = top.groupBy(F.pmod(F.xxhash64("piece"), F.lit(64)).alias("part")).agg(F.collect_list("piece").alias("pieces"))
 
-    def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def as_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own in batch.column(0):
-                made = _bytes_of(own.values)
-                both = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (own.values, made)]
-                yield pa.RecordBatch.from_arrays(both, names=["pieces", "bytes"])
+                both = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (own.values, begun(own.values))]
+                yield pa.RecordBatch.from_arrays(both, names=["pieces", "states"])
 
-    listed = map_arrow(lists.select("pieces"), as_bytes, "pieces array<string>, bytes array<array<int>>")
-    table = fold_all(listed, "bytes", ranks).select("pieces", "folds").toArrow()
+    listed = map_arrow(lists.select("pieces"), as_states, "pieces array<string>, states array<array<bigint>>")
+    table = fold_all(listed, "states", ranks).select("pieces", "folds").toArrow()
     names, found = [], []
     for own, ids in zip(table.column("pieces"), table.column("folds")):
         names += own.as_py()
@@ -211,9 +214,11 @@ def _cut(lists: pa.ListArray) -> list[bytes]:
 
 def _encoded(documents: DataFrame, path: str, pattern: str, key: str, text: str, finish: Callable, ddl: str) -> DataFrame:
     """Encodes each row and gives its key and ids (little-endian, 4 bytes each) to ``finish``."""
-    ranks = rank_map(documents.sparkSession, vocabulary(path))
+    vocab, context = vocabulary(path), documents.sparkSession.sparkContext
+    ranks, pairs, edge = rank_map(documents.sparkSession, vocab), context.broadcast(vocab.pairs), len(vocab.tokens)
+    begun = lambda texts: _states_of(texts, pairs.value, edge)
     # Either Arrow step gets only its half of the dictionary.
-    names, ids_of = map(documents.sparkSession.sparkContext.broadcast, _dictionary(documents, text, pattern, ranks))
+    names, ids_of = map(context.broadcast, _dictionary(documents, text, pattern, ranks, begun))
     rows = documents.select(F.col(key).alias("key"), whole_text(F.col(text)).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
 
@@ -221,38 +226,36 @@ def _encoded(documents: DataFrame, path: str, pattern: str, key: str, text: str,
         import regex
 
         pieces = regex.compile(pattern).findall
-        known = {p: i for i, p in enumerate(names.value)}
+        known = {p: i.to_bytes(4, "little") for i, p in enumerate(names.value)}
         quick = pattern == SPLIT_PATTERN
-        n, own, of_part = len(known), {}, {}
+        # A part that is a piece of the dictionary is that piece.
+        n, own, of_part = len(known), {}, dict(known)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 codes, rare, anew = [], [], []
-                for value in part.column(1):
+                for text in part.column(1).to_pylist():
                     if restart := len(own) > REMEMBERED or len(of_part) > REMEMBERED + n:
-                        own, of_part = {}, {}
+                        own, of_part = {}, dict(known)
                     new: list[str] = []
 
-                    def numbered(piece: str, own=own, new=new) -> int:
-                        c = known.get(piece)
-                        if c is None and (c := own.get(piece)) is None:
-                            c = own[piece] = n + len(own)
+                    def numbered(piece: str, own=own, new=new) -> bytes:
+                        c = known.get(piece) or own.get(piece)
+                        if c is None:
+                            c = own[piece] = (n + len(own)).to_bytes(4, "little")
                             new.append(piece)
                         return c
 
-                    text = value.as_py()
                     if quick and (found := parts(text)):
-                        for x in [x for x in set(found) if x not in of_part]:
-                            # A part that is a piece of the dictionary is that piece.
-                            c = known.get(x)
-                            of_part[x] = (np.array([numbered(p) for p in pieces(x)], "<i4") if c is None else np.int32(c)).tobytes()
+                        for x in set(found).difference(of_part):
+                            of_part[x] = b"".join(map(numbered, pieces(x)))
                         codes.append(b"".join(map(of_part.__getitem__, found)))
                     else:
-                        codes.append(np.array([numbered(p) for p in pieces(text)], "<i4").tobytes())
+                        codes.append(b"".join(map(numbered, pieces(text))))
                     rare.append(new)
                     anew.append(restart)
                 ends = np.cumsum([0, *map(len, rare)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _bytes_of(pa.array([x for new in rare for x in new], pa.string())))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), begun(pa.array([x for new in rare for x in new], pa.string())))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codes, pa.binary()), lists, pa.array(anew)], names=["key", "codes", "rare", "anew"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,10 +271,10 @@ def _encoded(documents: DataFrame, path: str, pattern: str, key: str, text: str,
                     if anew[k]:
                         del ids[n:]
                     ids += inner[outer[k] : outer[k + 1]]
-                    made.append(b"".join([ids[c] for c in np.frombuffer(code.as_py(), "<i4").tolist()]))
+                    made.append(b"".join(map(ids.__getitem__, np.frombuffer(code.as_py(), "<i4").tolist())))
                 yield finish(part.column(0), made)
 
-    folded = fold_all(map_arrow(rows, split, f"key {kind}, codes binary, rare array<array<int>>, anew boolean"), "rare", ranks).select("key", "codes", "folds", "anew")
+    folded = fold_all(map_arrow(rows, split, f"key {kind}, codes binary, rare array<array<bigint>>, anew boolean"), "rare", ranks).select("key", "codes", "folds", "anew")
     return map_arrow(folded, joined, f"`{key}` {kind}, {ddl}")
 
 
@@ -287,7 +290,7 @@ def encode_documents(documents: DataFrame, path: str, pattern: str, key: str = "
 
 def decode(ids: bytes, tokens: tuple[bytes, ...]) -> bytes:
     """The bytes of ids (little-endian unsigned 32-bit integers): their pieces, one after the other."""
-    return b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def decode_documents(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
